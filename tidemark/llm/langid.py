@@ -190,12 +190,14 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """
     keep = df.columns if keep is None else keep
     shared = df.sparkSession.sparkContext.broadcast(model)
-    source = df.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    more = [] if text in keep else [F.col(text)]
+    source = df.select(*[F.col(c) for c in keep], *more)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]]
+    at = source.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = _scorer(shared)
-        out = [scorer.text(x) for x in texts(batch.column(len(keep)))]
+        out = [scorer.text(x) for x in texts(batch.column(at))]
         more = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], names=[*keep, "lang_pred", "score"])
 
