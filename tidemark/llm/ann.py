@@ -138,7 +138,8 @@ def search(
     )
     asked = rows.where(queries).select(F.col("id").alias("q"), F.col("v").alias("qv"))
     spread = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("s"))
-    scale = math.sqrt(max(1e-300, spread.agg(F.sum(F.col("s") - F.col("m") * F.col("m"))).first()[0])) or 1.0
+    var, size = spread.agg(F.sum(F.col("s") - F.col("m") * F.col("m")), F.sum("s")).first()
+    scale = math.sqrt(var if var > 1e-24 * size else size)
     depth = depth or max(3, round(0.75 * math.log2(max(2, count))))
     w, parts = width * scale, max(1, -(-count // cell))
 

@@ -183,12 +183,14 @@ def _cuts(text: str):
     yield text[at:]
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``df``'s columns ``keep`` (all by default) with ``lang_pred`` and ``score``.
+def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """``df``'s columns ``keep`` (all by default) with ``lang_pred`` and ``score``, named after ``prefix``.
 
     The model is bounded (see :func:`fit`), so it is broadcast whatever the size of ``df``.
+    Columns of ``df`` that have the results' names give way to them.
     """
-    keep = df.columns if keep is None else keep
+    names = [prefix + "lang_pred", prefix + "score"]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)
     more = [] if text in keep else [F.col(text)]
     source = df.select(*[F.col(c) for c in keep], *more)
@@ -199,9 +201,9 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         scorer = _scorer(shared)
         out = [scorer.text(x) for x in texts(batch.column(at))]
         more = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], names=[*keep, "lang_pred", "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *more], names=[*keep, *names])
 
-    return map_batches(source, run, ", ".join([*fields, "lang_pred string", "score double"]))
+    return map_batches(source, run, ", ".join([*fields, f"`{names[0]}` string", f"`{names[1]}` double"]))
 
 
 _SCORERS: dict[int, Scorer] = {}

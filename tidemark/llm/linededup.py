@@ -14,7 +14,7 @@ A line's spread is the number of distinct sites (values of the site column) it o
 Everything is DataFrame operations; no Python runs on the executors.
 
 Defined results: lines are compared without spaces at their ends; lines that are blank then
-never count.  Null text stays null with no lines; empty text is one blank line.  A null site
+never count.  Columns named ``n_lines`` or ``n_removed`` give way to the results.  Null text stays null with no lines; empty text is one blank line.  A null site
 is a site of its own.  Repeats within one document stay.  Documents keep their other
 columns, and stay even if all their lines go (their text is then empty).  Rows that repeat a
 key and text are treated alike.
@@ -78,18 +78,19 @@ def remove(
     gone = (
         lines.join(boilerplate(lines, min_sites, band), ["h1", "h2"], "left_semi")
         .where(~F.col("k").eqNullSafe(F.col("keeper")))
-        .groupBy("k", "th").agg(F.collect_set("pos").alias("__gone"))
+        .groupBy(F.col("k").alias("__k"), F.col("th").alias("__t")).agg(F.collect_set("pos").alias("__gone"))
     )
     # The lines travel instead of the text, and as a column of their own: the places to keep
     # are then looked up in an array that is there, not split again for each.
-    others = [F.col(c) for c in docs.columns if c != text]
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    others = [F.col(c) for c in columns if c != text]
     left = docs.select(*others, _lines(F.col(text)).alias("__lines"), F.xxhash64(text).alias("__th"))
-    met = left.join(gone, F.col(key).eqNullSafe(F.col("k")) & (F.col("__th") == F.col("th")), "left")
+    met = left.join(gone, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__th") == F.col("__t")), "left")
     places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     cut = F.array_join(F.transform(places, lambda i: F.get(F.col("__lines"), i)), "\n")
     rebuilt = F.when(F.col("__gone").isNull(), F.array_join("__lines", "\n")).otherwise(cut)
     return met.select(
-        *[rebuilt.alias(text) if c == text else F.col(c) for c in docs.columns],
+        *[rebuilt.alias(text) if c == text else F.col(c) for c in columns],
         F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
     )

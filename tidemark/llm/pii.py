@@ -305,16 +305,18 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, least: float = 0.5) -> DataFrame:
-    """``keep`` (all columns by default) with counts by kind, the base spans' digest, all spans, and ``redacted``."""
-    keep = df.columns if keep is None else keep
+def find(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, least: float = 0.5, prefix: str = "") -> DataFrame:
+    """``keep`` (all columns by default) with counts by kind, the base spans' digest, all spans, and ``redacted``.
+
+    Results are named after ``prefix``; columns of ``df`` that have their names give way.
+    """
+    names = [prefix + n for n in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted")]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)
     more = [] if text in keep else [F.col(text)]
     source = df.select(*[F.col(c) for c in keep], *more)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]]
     at = source.columns.index(text)
-    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted"]
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for x in batch.column(at):
@@ -329,5 +331,5 @@ def find(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *names])
 
-    schema = [*fields, *(f"n_{k} long" for k in KINDS), "base_sha256 string, spans string, redacted string"]
-    return map_batches(source, run, ", ".join(schema))
+    types = ["long"] * len(KINDS) + ["string"] * 3
+    return map_batches(source, run, ", ".join([*fields, *(f"`{n}` {t}" for n, t in zip(names, types))]))
