@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language can't be told (no letter, or no language with half of the
     posterior); a missing ``lang`` is filled in."""
     model = langid.fit(docs.where(~langid.held_out()).select("text", "lang"))
-    found = langid.predict(docs, model).where(~langid.rejected())
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = langid.predict(docs, model, prefix="__").where(~langid.rejected("__lang_pred", "__score"))
+    return found.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +39,8 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts by the name of its kind; keep every document."""
-    found = pii.find(docs, pii.fit(docs.select("text")))
-    return found.withColumn("text", F.col("redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = pii.find(docs, pii.fit(docs.select("text")), prefix="__")
+    return found.withColumn("text", F.col("__redacted")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
