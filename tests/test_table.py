@@ -157,3 +157,26 @@ def test_sizes_and_buckets(spark):
 
     rows = spark.createDataFrame([(0.5,), (1.0,), (7.0,), (99.0,)], "v double")
     assert [r[0] for r in rows.select(histogram_bucket(F.col("v"), [1, 10])).collect()] == [0, 0, 1, 2]
+
+
+def test_trace_replay(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.resolve import resolve
+    from tidemark.sources.inputs import trace
+
+    lines = spark.createDataFrame([(1, "i a"), (2, "r a"), (3, "u a"), (4, "d b"), (5, "s a 10")], "seq long, value string")
+    rows = trace(lines)
+    assert {(r["kind"], r["k"], r["length"]) for r in rows.where("op IS NULL").collect()} == {("r", "a", None), ("s", "a", 10)}
+    writes = rows.where("op IS NOT NULL").withColumn("value", F.col("seq"))
+    assert {r["k"]: r["value"] for r in resolve(writes, K, MergeSpec.last_write_wins()).collect()} == {"a": 3, "b": 4}
+
+
+def test_filters_have_no_false_negatives(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), K, "long", key_schema="k long")
+    t.insert(spark.range(0, 2000, 2).selectExpr("id AS k", "id AS value"))
+    assert all(t.might_exist(k) for k in (0, 2, 1000, 1998))
+    plan = t.lookup(1000)._jdf.queryExecution().toString()
+    assert "EqualTo(sort_key,1000)" in plan or "GreaterThanOrEqual(sort_key,1000)" in plan
+    assert t.lookup(1001).isEmpty() and t.lookup(1000).count() == 1
+    t.close()
