@@ -105,21 +105,56 @@ def nearest(
     return [j for _, j in best], [float(d) for d, _ in best]
 
 
+def fitting_depth(x: np.ndarray, k: int, tables: int, width: float, probes: int, most: int, recall: float, asked: int = 40) -> int:
+    """The largest depth, from ``most`` down to 3, at which ``asked`` of the vectors find the
+    share ``recall`` of their ``k`` nearest among ``x``; neighbours in all the data are nearer,
+    hence found more often."""
+    if len(x) <= k:
+        return most
+    order = np.argsort(keyed(np.floor(x * 1e6), 0), kind="stable")[:asked]
+    nearest_ = []
+    for i in order:
+        gap = ((x - x[i]) ** 2).sum(axis=1)
+        gap[i] = np.inf
+        nearest_.append(np.argpartition(gap, k)[:k])
+    for depth in range(most, 3, -1):
+        found = np.zeros((len(order), k), dtype=bool)
+        for t in range(tables):
+            a, b = directions(t, x.shape[1], depth, width)
+            f = x @ a + b
+            slots = np.floor(f / width)
+            names = keyed(slots, t)
+            for row, i in enumerate(order):
+                sets = perturbations(f[i] - slots[i] * width, width, probes)
+                near = np.tile(slots[i], (len(sets), 1))
+                for n, moves in enumerate(sets):
+                    for at, step in moves:
+                        near[n, at] += step
+                found[row] |= np.isin(names[nearest_[row]], keyed(near, t))
+        if found.mean() >= recall:
+            return depth
+    return 3
+
+
 def search(
     vectors: DataFrame,
     queries: Column,
     k: int = 10,
     key: str = "vec_id",
     vector: str = "embedding",
-    tables: int = 8,
+    tables: int = 12,
     depth: int | None = None,
     width: float = 2.0,
-    probes: int = 700,
+    probes: int = 1200,
     cell: int = 20_000,
+    recall: float = 0.95,
+    sample: int = 20_000,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of every row that ``queries`` (on ``id``) selects.
 
-    ``depth`` defaults to three quarters of the binary logarithm of the number of vectors.
+    ``depth`` defaults to the largest, up to three quarters of the binary logarithm of the
+    number of vectors, that reaches ``recall`` on a sample (see :func:`fitting_depth`) of at
+    most about ``sample`` vectors and two million components.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -140,8 +175,11 @@ def search(
     spread = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("s"))
     var, size = spread.agg(F.sum(F.col("s") - F.col("m") * F.col("m")), F.sum("s")).first()
     scale = math.sqrt(var if var > 1e-24 * size else size)
-    depth = depth or max(3, round(0.75 * math.log2(max(2, count))))
     w, parts = width * scale, max(1, -(-count // cell))
+    if depth is None:
+        rate = min(1.0, min(sample, 2_000_000 // max(1, dim)) / count)
+        drawn = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < rate * (1 << 20)).select("v")
+        depth = fitting_depth(matrix(drawn.toArrow().column(0)), k, tables, w, probes, max(3, round(0.75 * math.log2(max(2, count)))), recall)
 
     def index(batches):
         for batch in batches:
