@@ -74,6 +74,9 @@ def test_lifecycle_and_reads(spark, tmp_path):
         t.update(spark.createDataFrame([("a", "1")], "k string, value string"))
     with pytest.raises(ValueError):
         t.insert(spark.createDataFrame([("a" * 513, "foo")], "k string, value string"))
+    with pytest.raises(ValueError, match="unknown op"):
+        t.append(spark.createDataFrame([("a", "UPSERT", "1")], "k string, op string, value string"))
+    assert len(t._files.list("runs")) == len(t.manifest().runs) == 3
     with pytest.raises(ValueError):
         Table.open(spark, path, K, MergeSpec.sum())
     again = Table.open(spark, path, K)

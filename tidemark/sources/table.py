@@ -141,19 +141,7 @@ class Table:
             if epoch <= current.epochs.get(source, -1):
                 return current.version
             current.epochs[source] = epoch
-        rows = self._stamped(messages, current)
-        known = F.col("op").isin(INSERT, UPDATE, DELETE)
-        checks = F.count_if(~F.coalesce(known, F.lit(False))).alias("ops")
-        if self.options.max_key_bytes is not None:
-            checks = [checks, F.count_if(oversize(self.key.columns, self.options.max_key_bytes)).alias("keys")]
-        bad = rows.agg(*(checks if isinstance(checks, list) else [checks])).first().asDict()
-        if bad["ops"]:
-            raise ValueError(f"{bad['ops']} messages have an unknown op")
-        if bad.get("keys"):
-            raise ValueError(f"{bad['keys']} keys have over {self.options.max_key_bytes} bytes")
-        if self.merge.pair is None and not rows.where(F.col("op") == UPDATE).isEmpty():
-            raise ValueError("an UPDATE needs a merge rule")
-        return self._commit(current, rows, current.next_batch, 0)
+        return self._commit(current, self._stamped(messages, current), current.next_batch, 0)
 
     def _writable(self) -> Manifest:
         if self._pinned:
@@ -179,16 +167,31 @@ class Table:
         return current.version
 
     def _write(self, rows: DataFrame, batch: int, level: int) -> Run:
+        """Write a run and describe it.  It is checked once it is written, from its own files,
+        so that what feeds it need not be computed again; a bad run is deleted."""
         name = uuid.uuid4().hex
         place = f"{self.path}/runs/{name}"
         out = rows.repartitionByRange("sort_key").sortWithinPartitions("sort_key", "batch", "seq").write
-        if self.options.bloom and not rows.schema["sort_key"].dataType.typeName() == "struct":
+        if self.options.bloom and rows.schema["sort_key"].dataType.typeName() != "struct":
             out = out.option("parquet.bloom.filter.enabled#sort_key", "true")
         out.parquet(place)
+        most = self.options.max_key_bytes
+        large = F.lit(0) if most is None else F.count_if(oversize(self.key.columns, most))
+        key = F.col("sort_key").cast("string")
         seen = self.spark.read.schema(rows.schema).parquet(place)
-        by_op = seen.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min("sort_key").cast("string").alias("a"), F.max("sort_key").cast("string").alias("b"))
-        found = by_op.collect()
+        found = seen.groupBy("op").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("b"), large.alias("large")).collect()
         ops = {r["op"]: r["n"] for r in found}
+        unknown = sum(n for op, n in ops.items() if op not in (INSERT, UPDATE, DELETE))
+        problem = None
+        if unknown:
+            problem = f"{unknown} messages have an unknown op"
+        elif any(r["large"] for r in found):
+            problem = f"{sum(r['large'] for r in found)} keys have over {most} bytes"
+        elif UPDATE in ops and self.merge.pair is None:
+            problem = "an UPDATE needs a merge rule"
+        if problem:
+            self._files.delete(f"runs/{name}")
+            raise ValueError(problem)
         return Run(name, sum(ops.values()), ops, batch, level, min((r["a"] for r in found), default=None), max((r["b"] for r in found), default=None))
 
     # reads
