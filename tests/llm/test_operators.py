@@ -370,14 +370,17 @@ def test_near_duplicates_equal_brute_force(spark):
     # one large group of copies, each with a change of its own
     words = [draw.choice(vocabulary) for _ in range(120)]
     for _ in range(60):
-        at = draw.randrange(120)
-        rows.append((len(rows), " ".join([*words[:at], draw.choice(vocabulary), *words[at + 1 :]])))
+        changed = list(words)
+        for at in draw.sample(range(120), draw.randint(1, 4)):
+            changed[at] = draw.choice(vocabulary)
+        rows.append((len(rows), " ".join(changed)))
     rows += [(len(rows) + i, t) for i, t in enumerate([None, "", "", "!", "?", "a b", "A  b", "a b c", rows[0][1], rows[0][1]])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    got = minhash.classes(docs)
     want = partition(rows)
-    found = {r["doc_id"]: r for r in got.collect()}
-    assert {i: r["class_id"] for i, r in found.items()} == want
+    assert len(set(want.values())) > 40
+    for block in (512, 64, 16):
+        found = {r["doc_id"]: r for r in minhash.classes(docs, block=block).collect()}
+        assert {i: r["class_id"] for i, r in found.items()} == want
     sizes = Counter(want.values())
     assert all(r["class_size"] == sizes[r["class_id"]] and r["is_first"] == (i == r["class_id"]) for i, r in found.items())
 
@@ -407,6 +410,21 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((twice[0] == twice[1]).mean() - 0.5) < 4 * math.sqrt(0.25 / m)
 
 
+def test_block_links_equal_pairs():
+    draw = random.Random(9)
+    bags = [np.array([draw.randint(0, 30) for _ in range(draw.randint(0, 40))], dtype=np.uint64) for _ in range(60)]
+    bags += [np.append(b, np.uint64(3)) for b in bags[:20]]
+    may = np.array([[(i + j) % 3 != 0 for j in range(len(bags))] for i in range(len(bags))])
+    want = set()
+    for i in range(len(bags)):
+        for j in range(i + 1, len(bags)):
+            s = minhash.similarity(np.unique(bags[i], return_counts=True), np.unique(bags[j], return_counts=True))
+            if may[i, j] and s >= 0.8 and len(bags[i]) and len(bags[j]):
+                want.add((i, j))
+    got = {tuple(p) for p in minhash.block_links(bags, may, 0.8).tolist() if len(bags[p[0]]) and len(bags[p[1]])}
+    assert got == want and want
+
+
 def test_components(spark):
     draw = random.Random(7)
     edges = [(i, i + 1) for i in range(100)] + [(200, draw.randint(201, 240)) for _ in range(60)] + [(300, 300), (5, 4)]
@@ -420,7 +438,9 @@ def test_components(spark):
     for u, v in edges:
         up[max(find(u), find(v))] = min(find(u), find(v))
     want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
-    assert {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
+    links = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    for few in (0, 50, 10_000):
+        assert {r["node"]: r["label"] for r in graph.components(links, few).collect()} == want
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 

@@ -10,9 +10,10 @@ improve, all shingles of a batch advancing together in numpy.
 
 Candidates.  Components are banded.  Within a bucket all members are compared with one
 leader, not with each other.  Linked texts form classes; only where a bucket still holds
-different classes are their members compared across classes.  Weighted Jaccard distance is a
-metric, so pairs whose distances to the leader differ by more than the threshold allows are
-left out without loss.  Every link is verified on whole texts.
+different classes are their members compared across classes: in small buckets by a join
+(weighted Jaccard distance is a metric, so pairs whose distances to the leader differ by
+more than the threshold allows are left out without loss), in large ones block by block
+inside tasks that return links alone.  Every link is verified on whole texts.
 
 Defined results: words are runs of letters and digits in lower case; a text of one to four
 words is one shingle; texts without words are only equal to texts that are the same string,
@@ -189,10 +190,75 @@ def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return map_batches(met, run, f"u {kind}, v {kind}, similarity double")
 
 
+def block_links(bags: list[np.ndarray], may: np.ndarray, threshold: float) -> np.ndarray:
+    """Pairs (i, j), i < j, that ``may`` allows and whose similarity reaches the threshold.
+
+    Repeats of a shingle count as shingles of their own, which makes multisets sets; all
+    intersections come from products of incidence matrices, a stretch of the vocabulary at
+    a time.
+    """
+    sizes = np.array([len(b) for b in bags], dtype=np.float32)
+    owner, value = [], []
+    for i, bag in enumerate(bags):
+        v, n = np.unique(bag, return_counts=True)
+        again = np.concatenate([np.arange(k) for k in n]) if len(n) else n
+        value.append(mix(np.repeat(v, n) + again.astype(_U) * _GOLD))
+        owner.append(np.full(len(bag), i))
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    _, code, seen = np.unique(value, return_inverse=True, return_counts=True)
+    useful = seen[code] > 1
+    owner, code = owner[useful], np.unique(code[useful], return_inverse=True)[1]
+    both = np.zeros((len(bags), len(bags)), dtype=np.float32)
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):
+        a, z = np.searchsorted(code, [low, low + 4096])
+        part = np.zeros((len(bags), 4096), dtype=np.float32)
+        part[owner[a:z], code[a:z] - low] = 1
+        both += part @ part.T
+    total = sizes[:, None] + sizes[None, :] - both
+    return np.argwhere(np.triu(may & (both >= threshold * total - 1e-4), 1))
+
+
+def in_blocks(large: DataFrame, reps: DataFrame, packed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(u, v) of links across classes within large buckets: a task compares two blocks of a
+    bucket at once and returns links alone.  A pair counts in the first bucket that both are in."""
+    kind = packed.schema["k"].dataType.simpleString()
+    parts = F.ceil(F.col("n") / block).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = large.select("band", "h", "rep", "label", parts.alias("parts"), mine.alias("mine")).withColumn("other", other)
+    dealt = dealt.select("band", "h", "rep", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    keys = reps.select("rep", "keys").join(large.select("rep").distinct(), "rep", "left_semi")
+    dealt = dealt.join(keys, "rep").join(packed.withColumnRenamed("k", "rep"), "rep")
+
+    def meet(_, t):
+        plain = zstandard.ZstdDecompressor()
+        band = t.column("band")[0].as_py()
+        ids, label = t.column("rep").combine_chunks(), t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        names = np.array(t.column("keys").to_pylist(), dtype=np.int64)
+        first = np.full((len(ids), len(ids)), names.shape[1], dtype=np.int16)
+        for k in range(names.shape[1] - 1, -1, -1):
+            first[names[:, k][:, None] == names[:, k][None, :]] = k
+        may = (label[:, None] != label[None, :]) & (first == band)
+        found = np.zeros((0, 2), dtype=int)
+        if may.any():
+            found = block_links([shingles(plain.decompress(z).decode("utf-8")) for z in t.column("z").to_pylist()], may, threshold)
+        return pa.table([ids.take(pa.array(found[:, 0])), ids.take(pa.array(found[:, 1]))], names=["u", "v"])
+
+    return dealt.groupBy("band", "h", "i", "j").applyInArrow(meet, f"u {kind}, v {kind}")
+
+
 def classes(
-    docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, text: str = "text", key: str = "doc_id",
+    threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
+    block: int = 512,
 ) -> DataFrame:
-    """(key, class_id, class_size, is_first) of every row."""
+    """(key, class_id, class_size, is_first) of every row.
+
+    Members of buckets of up to ``block`` / 8 texts meet by a join, at most so many a text;
+    those of larger ones in blocks of about ``block`` texts.
+    """
     signed = materialize(banded(docs, text, key, bands, rows))
     # one text stands for all that are the same string
     alike = signed.groupBy("t1", "t2").agg(F.min("k").alias("rep"), F.min("keys").alias("keys"))
@@ -223,18 +289,26 @@ def classes(
         members.join(label, "rep", "left").join(far, ["rep", "leader"], "left")
         .select("band", "h", "rep", "leader", F.coalesce("label", "rep").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
     )
-    mixed = placed.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "h")
-    open_ = materialize(placed.join(mixed, ["band", "h"], "left_semi").where("rep <> leader"))
-    x, y = open_.alias("x"), open_.alias("y")
+    mixed = (
+        placed.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+        .where("a <> b").select("band", "h", "n")
+    )
+    open_ = materialize(placed.join(mixed, ["band", "h"]).where("rep <> leader"))
+    small = open_.where(F.col("n") <= block // 8)
+    x, y = small.alias("x"), small.alias("y")
     near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9
     across = x.join(
         y,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
         & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near,
     ).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
-    across = across.join(tested.select("u", "v"), ["u", "v"], "left_anti")
+    # a leader is the smallest of its bucket, so tested pairs have the smaller text as v
     across = across.join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    more = materialize(verify(across, packed).where(F.col("similarity") >= threshold).select("u", "v"))
+    more = verify(across, packed).where(F.col("similarity") >= threshold).select("u", "v")
+    large = open_.where(F.col("n") > block // 8)
+    if not large.isEmpty():
+        more = more.unionByName(in_blocks(large, reps, packed, threshold, block))
+    more = materialize(more)
     if not more.isEmpty():
         found = components(linked.unionByName(more))
     label = found.select(F.col("node").alias("rep"), "label")
