@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, bytebpe, graph, html, langid, linededup, media, minhash, packing, pii, tokencount
+from tidemark.llm import ann, bpe, bytebpe, common, graph, html, langid, linededup, media, minhash, packing, pii, tokencount
 
 PATH = bytebpe.default_path()
 WORDS = "the river runs past old mills where people bake bread and sell apples every market day in spring".split()
@@ -46,6 +46,14 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_materialized_tables_can_be_released(spark):
+    made = common.materialize(spark.range(5))
+    file = made.inputFiles()[0]
+    assert made.count() == 5 and common.release(spark) >= 1 and common.release(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(file)
+
+
 # language ID
 
 
