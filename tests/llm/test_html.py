@@ -45,3 +45,5 @@ def test_odd_pages():
     assert text("<p title='a>b'>q</p>" * 3) == "q q q"
     assert len(html.lines("<p>" * 20000 + "<" * 20000)) == 1
     assert text("<div" + ' a="' * 5000) == ""
+    assert text("<p title=don't>x</p> <a href=\"it's\">y</a> <i a='\"'>z</i>") == "x y z"
+    assert len(text("<b>" * 50_000 + "x" + "</i></div>" * 50_000)) == 1

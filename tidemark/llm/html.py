@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -46,7 +47,7 @@ disqus footer header masthead menu modal nav navbar navigation newsletter notice
 reply replies replies-list respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split()
 ROLES = "navigation banner contentinfo complementary search form alert dialog menu menubar".split()
 
-_TAG = re.compile(r"<(?:!--(?:>|->|(.*?)(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([!?/][^>]*)>)", re.S)
+_TAG = re.compile(r"<(?:!--(?:>|->|(.*?)(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|([!?/][^>]*)>)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 _SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 _BLOCKS, _VOID, _SKIPPED, _RAW, _FURNITURE, _ROLES = map(frozenset, (BLOCKS, VOID, SKIPPED, RAW, FURNITURE, ROLES))
@@ -76,6 +77,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, opens furniture, opens main
     bad = main = 0
+    depth: Counter[str] = Counter()  # of open elements, by name
 
     def flush() -> None:
         if text:
@@ -86,7 +88,8 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
     def close() -> None:
         nonlocal bad, main
-        _, was_bad, was_main = stack.pop()
+        gone, was_bad, was_main = stack.pop()
+        depth[gone] -= 1
         bad -= was_bad
         main -= was_main
 
@@ -123,6 +126,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                 flush()
             is_main = name in ("article", "main") or "role" in found[4] and re.search(r"role\s*=\s*[\"']?main\b", found[4]) is not None
             stack.append((name, opens, is_main))
+            depth[name] += 1
             bad += opens
             main += is_main
             if name in _RAW:
@@ -132,7 +136,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
         else:
             if name in _BLOCKS or bad:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1 if depth[name] else -1, -1, -1):
                 if stack[i][0] == name:
                     while len(stack) > i:
                         if stack[-1][1]:
