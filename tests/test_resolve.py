@@ -150,3 +150,13 @@ def test_identity_is_the_order(spark):
     rows = spark.createDataFrame([("010.0.0.1", 1, INSERT, 1), ("10.0.0.1", 2, INSERT, 2), ("9.0.0.1", 1, INSERT, 3)], "ip string, seq long, op string, value long")
     got = resolve(rows, KeySpec.ipv4("ip"), MergeSpec.last_write_wins()).orderBy("sort_key").collect()
     assert [(r["ip"], r["value"]) for r in got] == [("9.0.0.1", 3), ("10.0.0.1", 2)]
+
+
+@pytest.mark.parametrize("rule", [MergeSpec.last_write_wins(), MergeSpec.sum(), MergeSpec.counter_int8()], ids=lambda r: r.name)
+def test_resolution_is_one_exchange(spark, tmp_path, rule):
+    path = str(tmp_path / "m")
+    spark.createDataFrame(histories(50, 1), SCHEMA).withColumn("unused", K.hash()).write.parquet(path)
+    plan = resolve(spark.read.parquet(path).where("k < 20"), K, rule)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "LessThan(k,20)" in plan and "unused" not in plan
+    if rule.pair is None:
+        assert "partial_max_by" in plan
