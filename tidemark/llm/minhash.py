@@ -24,6 +24,7 @@ them links is linked.  A class of which all keys are null has a null id.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -44,7 +45,7 @@ _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _MULT = np.array([0xD6E8FEB86659FD93, 0xA5CB9243D3AA1B5F, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0x9FB21C651E98DF25], dtype=_U)
 #: Shingles whose points are drawn together, and words hashed before the memory of hashes is emptied.
-_GROUP, _MEMORY = 200_000, 500_000
+_GROUP, _MEMORY = 200_000, 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -175,18 +176,15 @@ def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         plain = zstandard.ZstdDecompressor()
 
+        @functools.lru_cache(maxsize=64)
         def bag(z: bytes):
             return np.unique(shingles(plain.decompress(z).decode("utf-8")), return_counts=True)
 
-        out, last, right = [], None, None
-        for zu, zv in zip(batch.column(2), batch.column(3)):
-            zv = zv.as_py()
-            if zv != last:
-                last, right = zv, bag(zv)
-            out.append(similarity(bag(zu.as_py()), right))
+        out = [similarity(bag(zu.as_py()), bag(zv.as_py())) for zu, zv in zip(batch.column(2), batch.column(3))]
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.float64())], names=["u", "v", "similarity"])
 
-    met = pairs.join(a, "u").join(b, "v").select("u", "v", "zu", "zv")
+    # many pairs share a v, few a u: the skewed join comes first, where it is cheap to split
+    met = pairs.join(b, "v").join(a, "u").select("u", "v", "zu", "zv")
     return map_batches(met, run, f"u {kind}, v {kind}, similarity double")
 
 
@@ -254,7 +252,7 @@ def classes(
     threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS,
     block: int = 512,
 ) -> DataFrame:
-    """(key, class_id, class_size, is_first) of every row.
+    """(key, class_id, is_first) of every row.
 
     Members of buckets of up to ``block`` / 8 texts meet by a join, at most so many a text;
     those of larger ones in blocks of about ``block`` texts.
@@ -264,8 +262,10 @@ def classes(
     alike = signed.groupBy("t1", "t2").agg(F.min("k").alias("rep"), F.min("keys").alias("keys"))
     reps = materialize(alike)
     cells = reps.where("keys IS NOT NULL").select("rep", F.posexplode("keys").alias("band", "h"))
-    buckets = cells.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1")
-    members = materialize(cells.join(buckets.drop("n"), ["band", "h"]))
+    # written before it is joined, so that both sides are plain exchanges, which Spark splits
+    # where a bucket is hot
+    buckets = materialize(cells.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").drop("n"))
+    members = materialize(cells.join(buckets, ["band", "h"]))
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
         z = zstandard.ZstdCompressor(level=3)
@@ -283,13 +283,14 @@ def classes(
     linked = tested.where(F.col("similarity") >= threshold).select("u", "v")
     found = components(linked)
     # where a bucket still has several classes, compare across them
-    label = found.select(F.col("node").alias("rep"), "label")
-    far = tested.select(F.col("u").alias("rep"), F.col("v").alias("leader"), (1 - F.col("similarity")).alias("far"))
-    placed = (
-        members.join(label, "rep", "left").join(far, ["rep", "leader"], "left")
-        .select("band", "h", "rep", "leader", F.coalesce("label", "rep").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    )
-    mixed = (
+    far = F.map_from_entries(F.collect_list(F.struct("v", 1 - F.col("similarity"))))
+    known = tested.groupBy(F.col("u").alias("rep")).agg(far.alias("far"))  # to its leaders, one a band at most
+    known = known.join(found.select(F.col("node").alias("rep"), "label"), "rep", "full_outer")
+    placed = materialize(members.join(known, "rep", "left").select(
+        "band", "h", "rep", "leader", F.coalesce("label", "rep").alias("label"),
+        F.coalesce(F.try_element_at("far", F.col("leader")), F.lit(0.0)).alias("far"),
+    ))
+    mixed = materialize(
         placed.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
         .where("a <> b").select("band", "h", "n")
     )
@@ -314,6 +315,4 @@ def classes(
     label = found.select(F.col("node").alias("rep"), "label")
     by_text = reps.select("t1", "t2", "rep").join(label, "rep", "left").select("t1", "t2", F.coalesce("label", "rep").alias("class_id"))
     whole = signed.select("k", "t1", "t2").join(by_text, ["t1", "t2"]).select("k", "class_id")
-    sizes = whole.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    whole = whole.join(sizes.withColumnRenamed("class_id", "__c"), F.col("class_id").eqNullSafe(F.col("__c")))
-    return whole.select(F.col("k").alias(key), "class_id", "class_size", F.col("k").eqNullSafe(F.col("class_id")).alias("is_first"))
+    return whole.select(F.col("k").alias(key), "class_id", F.col("k").eqNullSafe(F.col("class_id")).alias("is_first"))
