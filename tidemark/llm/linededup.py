@@ -70,7 +70,9 @@ def remove(
 ) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text``, and ``n_lines`` and ``n_removed`` added."""
     found = occurrences(docs, text, site, key)
-    often = (
+    # written before it is joined, so that both sides of the join are plain exchanges, which
+    # Spark splits where a line is hot
+    often = materialize(
         found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("keeper"))
         .where(F.col("n") >= min_sites).drop("n")
     )
