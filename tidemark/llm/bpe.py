@@ -106,7 +106,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     docs = docs.select(F.col(key), F.col(text), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"))
     kind = docs.schema[key].dataType.simpleString()
     chunks = materialize(chunk_hashes(docs, key, text))
-    shared = (
+    # written before they are joined, so that both sides are plain exchanges, which Spark
+    # splits where a chunk is hot
+    shared = materialize(
         chunks.groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(key), "th", "pos")).alias("owner"))
         .where("n > 1").select("h", "owner")
@@ -158,7 +160,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     step = materialize(map_batches(met, first, f"`{key}` {kind}, th long, state string, h binary, z binary, {_RESULT}{out_ids}"))
     results = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids
     done = step.where("state = 'done'").select(key, *results)
-    made = step.where("state = 'chunk'").groupBy("h").agg(F.first("z").alias("encoded"))
+    made = materialize(step.where("state = 'chunk'").groupBy("h").agg(F.first("z").alias("encoded")))
     waiting = step.where("state = 'open'").select(key, "th", "z")
     parts_of = (
         chunks.join(made, "h")
