@@ -31,16 +31,22 @@ class ByteBpe:
     """Encoder and decoder of one vocabulary file.  Ids come as unsigned 32-bit arrays."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.fast = self._fast(spec)
 
+    @functools.cached_property
+    def exact(self):
+        """The file in ``tokenizers``, loaded only if a text needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     def _fast(self, spec: dict):
         import tiktoken
 

@@ -117,7 +117,7 @@ def _grams(column: str, n: int):
 class Scorer:
     """Scores texts with a model; remembers unseen words up to a bound."""
 
-    def __init__(self, model: Model, memory: int = 200_000):
+    def __init__(self, model: Model, memory: int = 50_000):
         self.model = model
         self.memory = memory
         self.seen: dict[str, list[int]] = {}
