@@ -126,8 +126,10 @@ def pack(parts: DataFrame, capacity: int = 1024, key: str = "doc_id") -> DataFra
     ``parts`` needs (key, piece, length) with lengths from 1 to ``capacity``; other columns stay.
     """
     columns = parts.columns
+    # dealing out by range reads its input twice, once for samples
     ranked = materialize(
-        parts.repartitionByRange(F.col("length"), F.col(key), F.col("piece"))
+        materialize(parts)
+        .repartitionByRange(F.col("length"), F.col(key), F.col("piece"))
         .sortWithinPartitions("length", key, "piece")
         .withColumn("__at", F.monotonically_increasing_id())
     )
