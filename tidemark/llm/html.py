@@ -208,8 +208,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
         source.select(key, "th", host.alias("host"), path.alias("path"), body),
         hashed, f"`{key}` {kind}, th long, host string, path string, hashes array<long>",
     )
+    # dealing out by range reads its input twice, once for samples
     ordered = materialize(
-        light.repartitionByRange("host", "path", F.col(key), "th")
+        materialize(light)
+        .repartitionByRange("host", "path", F.col(key), "th")
         .sortWithinPartitions("host", "path", key, "th")
         .withColumn("at", F.monotonically_increasing_id())
     )
