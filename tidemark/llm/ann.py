@@ -219,7 +219,8 @@ def search(
             yield pa.RecordBatch.from_arrays(columns, names=["t", "p", "q", "buckets", "qv"])
 
     stored = entries.mapInArrow(index, "t int, p int, bucket long, v array<double>, ids array<long>")
-    probed = asked.mapInArrow(probe, "t int, p int, q long, buckets array<long>, qv array<double>")
+    # drawing probes is the dear part: written once, as sizes are counted before rows are dealt
+    probed = materialize(asked.mapInArrow(probe, "t int, p int, q long, buckets array<long>, qv array<double>"))
     stored, probed = _dealt(stored, probed, ["t", "p"], cell)
 
     def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
