@@ -305,12 +305,13 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, least: float = 0.5, prefix: str = "") -> DataFrame:
+def find(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, least: float = 0.5, prefix: str = "", redacted: bool = True) -> DataFrame:
     """``keep`` (all columns by default) with counts by kind, the base spans' digest, all spans, and ``redacted``.
 
     Results are named after ``prefix``; columns of ``df`` that have their names give way.
+    Without ``redacted``, texts only go to the workers, not back.
     """
-    names = [prefix + n for n in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "redacted")]
+    names = [prefix + n for n in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans", *["redacted"] * redacted)]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
     shared = df.sparkSession.sparkContext.broadcast(model)
     more = [] if text in keep else [F.col(text)]
@@ -326,10 +327,11 @@ def find(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None
             spans = base + more_spans(whole, base, shared.value, least)
             seen = Counter(s.kind for s in base)
             digest = hashlib.sha256(joined(base).encode()).hexdigest()
-            rows.append((*(seen[k] for k in KINDS), digest, joined(spans), redact(whole, spans) if spans else value))
-        kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 3
+            clean = [redact(whole, spans) if spans else value] if redacted else []
+            rows.append((*(seen[k] for k in KINDS), digest, joined(spans), *clean))
+        kinds = [pa.int64()] * len(KINDS) + [pa.string()] * (2 + redacted)
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *names])
 
-    types = ["long"] * len(KINDS) + ["string"] * 3
+    types = ["long"] * len(KINDS) + ["string"] * (2 + redacted)
     return map_batches(source, run, ", ".join([*fields, *(f"`{n}` {t}" for n, t in zip(names, types))]))

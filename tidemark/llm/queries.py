@@ -65,7 +65,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base patterns' counts and digest, and all spans."""
     docs = table(spark, sf_dir, "documents")
-    return pii.find(docs.select("doc_id", "text"), pii.fit(docs.select("text")), keep=["doc_id"]).drop("redacted")
+    return pii.find(docs.select("doc_id", "text"), pii.fit(docs.select("text")), keep=["doc_id"], redacted=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
