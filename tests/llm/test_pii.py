@@ -66,3 +66,25 @@ def test_repeats_of_a_found_number_are_found_and_clean_text_is_left_alone():
 
 def test_empty():
     assert pii.base_spans("") == [] and pii.joined([]) == ""
+
+
+def test_all_repeats_of_a_found_number_are_found_by_a_fitted_model(spark):
+    """However many repeats follow, or stand before, though words of that shape are mostly nothing."""
+    rows = [(f"see 2{i % 10}1-555-{1000 + i} or +1 (743) 555-{1000 + i} then",) for i in range(600)]
+    rows += [(f"part 3{i % 10}2-444-{1000 + i} and 4{i % 10}3-444-{2000 + i} here",) for i in range(2000)]
+    fitted = pii.fit(spark.createDataFrame(rows, "text string"))
+    for n in (1, 2, 20, 200):
+        for filler in (" or ", " part 302-444-1234 and "):
+            repeats = filler + filler.join(["743-555-3824"] * n)
+            for text in ("call +1 (743) 555-3824" + repeats, repeats + " call +1 (743) 555-3824"):
+                more = pii.more_spans(text, pii.base_spans(text), fitted)
+                assert [(s.kind, text[s.start : s.end]) for s in more] == [("phone", "743-555-3824")] * n
+
+
+def test_beliefs_cross_a_long_chain():
+    n = 60
+    unary = np.zeros((n, 2))
+    unary[0] = (-50, 0)
+    found = pii.beliefs(unary, [(i, i + 1) for i in range(n - 1)], [np.eye(2) * 6.0] * (n - 1))
+    want = 0.5 + 0.5 * np.tanh(3.0) ** (n - 1)
+    assert abs(found[-1, 1] - want) < 0.01

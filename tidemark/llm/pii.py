@@ -4,10 +4,13 @@ The base patterns decide first and are never taken back.  The field's nodes are
 spans, whose labels are observed, and every other word that could be personal (it has an at
 sign or two digits).  Neighbouring nodes form a chain; nodes far apart that repeat each
 other, wholly or in their last seven digits or in an address's local part, are tied by skip
-edges, each occurrence to the one before, so edges grow with the nodes.  Loopy belief
-propagation then spreads labels: a word that no pattern matches becomes a span if its
-belief is ``least`` or more and a path of skip edges leads to a base span of that kind, so
-documents without any base span are left alone.
+edges, each occurrence to the one before, so edges grow with the nodes.  A word that repeats
+a base span is also tied to it itself, however far away; as the base span is observed, that
+tie is evidence of the word's own, which outweighs the floor of its traits and its
+neighbours in the chain.  Loopy belief propagation then spreads labels until they no longer
+change: a word that no pattern matches becomes a span if its belief is ``least`` or more and
+a path of skip edges leads to a base span of that kind, so documents without any base span
+are left alone.
 
 Weights are log ratios of counts from a bounded sample (:func:`fit`).
 
@@ -176,6 +179,20 @@ def skips(ns: list[Node]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def anchors(ns: list[Node]) -> list[dict[int, int]]:
+    """Of each node that isn't a base span: labels of the base spans it shares a key with, and one such node for each."""
+    seen: dict[str, dict[int, int]] = {}
+    for i, n in enumerate(ns):
+        if n.label:
+            for k in keys(n):
+                seen.setdefault(k, {}).setdefault(n.label, i)
+    return [{} if n.label else {y: j for k in keys(n) for y, j in seen.get(k, {}).items()} for n in ns]
+
+
+#: What a node's traits can say against a label at most, in log odds.
+FLOOR = 4.0
+
+
 @dataclass(frozen=True)
 class Model:
     """Log weights: of traits by label, of labels in a chain, of agreement over a skip edge."""
@@ -185,6 +202,11 @@ class Model:
     chain: np.ndarray
     skip: float
 
+    def anchor(self) -> float:
+        """The weight of a tie to a base span: more than traits and both neighbours in the chain can say against it."""
+        spread = max(float(np.ptp(self.chain, axis=0).max()), float(np.ptp(self.chain, axis=1).max()))
+        return self.skip + FLOOR + 2 * spread
+
 
 def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000, max_traits: int = 5_000) -> Model:
     """Count labels that the base patterns give in about ``max_docs`` texts chosen by hash.
@@ -227,8 +249,13 @@ def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000, max_traits:
     )
 
 
-def beliefs(unary: np.ndarray, edges: list[tuple[int, int]], potentials: list[np.ndarray], sweeps: int = 12) -> np.ndarray:
-    """Marginals by loopy belief propagation; exact on trees once messages have crossed them."""
+def beliefs(unary: np.ndarray, edges: list[tuple[int, int]], potentials: list[np.ndarray], sweeps: int | None = None) -> np.ndarray:
+    """Marginals by loopy belief propagation, exact on trees.
+
+    Messages are passed until they no longer change (or ``sweeps`` times where it is given).
+    Only once they had time to cross the whole graph, steps become smaller, so that messages
+    that go back and forth come to rest too.
+    """
     n, k = unary.shape
     if not edges:
         out = np.exp(unary - unary.max(axis=1, keepdims=True))
@@ -238,16 +265,20 @@ def beliefs(unary: np.ndarray, edges: list[tuple[int, int]], potentials: list[np
     pots = np.stack([*potentials, *[p.T for p in potentials]])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     messages = np.zeros((len(src), k))
-    for _ in range(sweeps):
+    step, turn = 0.5, 0
+    while sweeps is None or turn < sweeps:
+        turn += 1
         total = unary.copy()
         np.add.at(total, dst, messages)
         out = total[src] - messages[back]
         new = np.logaddexp.reduce(out[:, :, None] + pots, axis=1)
         new -= np.logaddexp.reduce(new, axis=1, keepdims=True)
         change = np.abs(new - messages).max()
-        messages = 0.5 * messages + 0.5 * new
-        if change < 1e-4:
+        messages = (1 - step) * messages + step * new
+        if change * min(1.0, 2 * step) < 1e-4:
             break
+        if turn > n and turn % 100 == 0:
+            step /= 2
     total = unary.copy()
     np.add.at(total, dst, messages)
     total -= np.logaddexp.reduce(total, axis=1, keepdims=True)
@@ -262,29 +293,39 @@ def more_spans(text: str, base: list[Span], model: Model, least: float = 0.5) ->
     if all(n.label for n in ns):
         return []
     unary = np.zeros((len(ns), len(LABELS)))
+    near, weight = anchors(ns), model.anchor()
     for i, n in enumerate(ns):
         if n.label:
-            unary[i] = -30.0
+            unary[i] = -1e6
             unary[i, n.label] = 0.0
         else:
             unary[i] = model.prior
             for t in traits(n, text):
                 if t in model.traits:
                     unary[i] += model.traits[t]
-            unary[i] = np.maximum(unary[i] - unary[i].max(), -4.0)
+            unary[i] = np.maximum(unary[i] - unary[i].max(), -FLOOR)
+            unary[i, list(near[i])] += weight
     tied = skips(ns)
     chain = [(i, i + 1) for i in range(len(ns) - 1)]
     same = np.eye(len(LABELS)) * model.skip
     found = beliefs(unary, [*chain, *tied], [model.chain] * len(chain) + [same] * len(tied))
-    reach = [{n.label} if n.label else set() for n in ns]
-    for order in (tied, tied[::-1]):
-        for i, j in order:
-            both = reach[i] | reach[j]
-            reach[i], reach[j] = both, both
+    top = list(range(len(ns)))
+
+    def root(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    for i, j in tied:
+        top[root(i)] = root(j)
+    reach: dict[int, set[int]] = {}
+    for i, n in enumerate(ns):
+        if n.label:
+            reach.setdefault(root(i), set()).add(n.label)
     out = []
     for i, n in enumerate(ns):
         best = int(np.argmax(found[i]))
-        if not n.label and best and found[i, best] >= least and best in reach[i]:
+        if not n.label and best and found[i, best] >= least and best in reach.get(root(i), ()):
             out.append(Span(KINDS[best - 1], n.start, n.end))
     return out
 
