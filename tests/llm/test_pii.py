@@ -88,3 +88,19 @@ def test_beliefs_cross_a_long_chain():
     found = pii.beliefs(unary, [(i, i + 1) for i in range(n - 1)], [np.eye(2) * 6.0] * (n - 1))
     want = 0.5 + 0.5 * np.tanh(3.0) ** (n - 1)
     assert abs(found[-1, 1] - want) < 0.01
+
+
+def test_repeats_within_long_words_are_found():
+    head = "call +1 (743) 555-3824 or ann.lee@mail.example; "
+    for around in (
+        "{},Paris,12.50,2024-01-02," + "x" * 60, "x" * 80 + ",{}", "https://a.example/" + "path/" * 20 + "{}/end?q=12&r=34",
+        '{{"id":12,"name":"' + "n" * 70 + '","phone":"{}","zip":"75001"}}', "字" * 70 + "{}" + "字" * 70, "a,{},b", "tel:{}",
+    ):
+        for word, kind in (("743-555-3824", "phone"), ("ann.lee@mail", "email")):
+            text = head + around.format(word)
+            more = pii.more_spans(text, pii.base_spans(text), model())
+            assert [(s.kind, text[s.start : s.end]) for s in more] == [(kind, word)], text
+    text = head + "x" * 80 + "743-555-3824" + "y" * 80
+    assert [text[s.start : s.end] for s in pii.more_spans(text, pii.base_spans(text), model())] == ["743-555-3824"]
+    text = head + "1" * 100_000 + "," + "a1b2," * 20_000
+    assert pii.more_spans(text, pii.base_spans(text), model()) == []

@@ -2,7 +2,9 @@
 
 The base patterns decide first and are never taken back.  The field's nodes are the base
 spans, whose labels are observed, and every other word that could be personal (it has an at
-sign or two digits).  Neighbouring nodes form a chain; nodes far apart that repeat each
+sign or two digits).  Words that hold more than an address or number could (rows of values,
+URLs, text without spaces) also give their parts as nodes, and long words only those.  Where
+a part and the word around it both become spans of one kind, the part alone does.  Neighbouring nodes form a chain; nodes far apart that repeat each
 other, wholly or in their last seven digits or in an address's local part, are tied by skip
 edges, each occurrence to the one before, so edges grow with the nodes.  A word that repeats
 a base span is also tied to it itself, however far away; as the base span is observed, that
@@ -44,6 +46,12 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"\S+")
+# What can stand in an address or number, and a number within it.
+_PART = re.compile(r"[A-Za-z0-9._%+@()-]+")
+_NUMBER = re.compile(r"[0-9][0-9().+-]*[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
+#: A longer word can't be an address or number as a whole.
+WORD = 64
 _EDGE = "\"'`()[]{}<>.,;:!?%$#*&="
 
 
@@ -120,6 +128,25 @@ class Node:
     word: str
 
 
+def pieces(word: str) -> list[tuple[int, int]]:
+    """Places in a word of what could be personal: the word, its parts and numbers within those, less what surrounds them."""
+    found = [(0, len(word))] if len(word.strip(_EDGE)) <= WORD else []
+    if not found or not _PART.fullmatch(word.strip(_EDGE)):
+        found += [m.span() for m in _PART.finditer(word)]
+    for start, end in list(found):
+        part = word[start:end]
+        if _LETTER.search(part) and _PART.fullmatch(part):
+            found += [(start + m.start(), start + m.end()) for m in _NUMBER.finditer(part) if len(_DIGIT.findall(m[0])) >= 7]
+    out = set()
+    for start, end in found:
+        part = word[start:end]
+        core = part.strip(_EDGE)
+        if core and ("@" in core or len(_DIGIT.findall(core)) >= 2):
+            start += len(part) - len(part.lstrip(_EDGE))
+            out.add((start, start + len(core)))
+    return sorted(out, key=lambda p: (p[0], -p[1]))
+
+
 def nodes(text: str, base: list[Span]) -> list[Node]:
     """Base spans (first by kind where they overlap) and the other candidate words, in text order."""
     taken: list[Node] = []
@@ -133,16 +160,16 @@ def nodes(text: str, base: list[Span]) -> list[Node]:
     out, k = list(kept), 0
     for m in _WORD.finditer(text):
         word = m[0]
-        if "@" not in word and len(_DIGIT.findall(word[:64])) < 2:
+        if "@" not in word and len(_DIGIT.findall(word)) < 2:
             continue
-        left = len(word) - len(word.lstrip(_EDGE))
-        core = word.strip(_EDGE)
-        start, end = m.start() + left, m.start() + left + len(core)
-        while k < len(kept) and kept[k].end <= start:
-            k += 1
-        if core and len(core) <= 64 and not (k < len(kept) and kept[k].start < end):
-            out.append(Node(start, end, None, core))
-    out.sort(key=lambda n: n.start)
+        for start, end in pieces(word):
+            core = word[start:end]
+            start, end = m.start() + start, m.start() + end
+            while k < len(kept) and kept[k].end <= start:
+                k += 1
+            if not (k < len(kept) and kept[k].start < end):
+                out.append(Node(start, end, None, core))
+    out.sort(key=lambda n: (n.start, -n.end))
     return out
 
 
@@ -327,7 +354,14 @@ def more_spans(text: str, base: list[Span], model: Model, least: float = 0.5) ->
         best = int(np.argmax(found[i]))
         if not n.label and best and found[i, best] >= least and best in reach.get(root(i), ()):
             out.append(Span(KINDS[best - 1], n.start, n.end))
-    return out
+    # in order of start, wider first, a span that holds another of its kind is followed by it
+    after: dict[str, Span] = {}
+    narrow = []
+    for s in reversed(out):
+        if s.kind not in after or after[s.kind].end > s.end or after[s.kind].start >= s.end:
+            narrow.append(s)
+            after[s.kind] = s
+    return narrow[::-1]
 
 
 def joined(spans: list[Span]) -> str:
