@@ -29,12 +29,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that with the smallest id, of each class of exact and near copies."""
-    kept = minhash.classes(docs).where("is_first").select(F.col("doc_id").alias("__k")).distinct()
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi")
-    # rows that repeat an id are one document: its smallest row stays
-    whole = first.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row"))
-    return whole.select("doc_id", "row.*").select(*docs.columns)
+    """Keep one row, that with the smallest id (then the smallest row), of each class of exact and near copies.
+
+    Rows are told apart by numbers of their own: an id may be null or stand for several texts.
+    """
+    # written, as the numbers differ each time they are drawn
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = minhash.classes(rows, key="__row").select("__row", "class_id")
+    ids = rows.select("__row", F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    placed = materialize(found.join(ids, "__row"))
+    # written before it is joined, so that a large class's join can be split
+    least = materialize(placed.groupBy("class_id").agg(F.min(F.struct("none", "id")).alias("least"), F.count(F.lit(1)).alias("n")))
+    first = placed.join(least, "class_id").where((F.col("none") == F.col("least.none")) & F.col("id").eqNullSafe(F.col("least.id")))
+    # rows of a class that repeat its smallest id: the smallest row stays
+    order = F.struct(*[c for c in docs.columns if c != "doc_id"], "__row")
+    several = materialize(rows.join(first.where("n > 1").select("__row", "class_id"), "__row"))
+    chosen = several.groupBy("class_id").agg(F.min(order).alias("row")).select(F.col("row.__row").alias("__row"))
+    kept = first.where("n = 1").select("__row").unionByName(chosen)
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,17 @@ def test_run(spark):
 def test_stages_of_nothing(spark, name):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, SF).count() == 0
+
+
+def test_copies_keep_different_texts_of_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("oak", "elm", "ash", "fir", "yew")]
+    near = texts[3] + " more"
+    rows = [
+        (None, texts[0], "en", "b", 1), (None, texts[0], "en", "a", 1), (None, texts[1], "en", "a", 1), (None, near, "en", "a", 1),
+        (7, texts[2], "en", "a", 1), (7, texts[2], "en", "a", 1), (7, texts[3], "en", "a", 1), (9, near, "en", "a", 1),
+        (8, texts[4], "en", "b", 1), (8, texts[4] + " also", "en", "a", 1), (None, None, "en", "a", None),
+    ]
+    want = [rows[1], rows[2], rows[4], rows[6], rows[8], rows[10]]
+    got = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, spark.createDataFrame(rows, docs.schema), SF)
+    assert Counter(map(tuple, got.collect())) == Counter(want)
