@@ -47,3 +47,17 @@ def test_odd_pages():
     assert text("<div" + ' a="' * 5000) == ""
     assert text("<p title=don't>x</p> <a href=\"it's\">y</a> <i a='\"'>z</i>") == "x y z"
     assert len(text("<b>" * 50_000 + "x" + "</i></div>" * 50_000)) == 1
+
+
+def test_only_a_real_hidden_attribute_hides():
+    for shown in ('style="overflow:hidden"', 'data-hidden="false"', 'href="/hidden/"', "title='class=menu hidden'", "data-id=menu"):
+        assert text(f"<article><p>one</p><div {shown}>two</div></article>") == "one two"
+    for gone in ("hidden", 'hidden=""', 'title="x" HIDDEN', "aria-hidden=true", "class='menu'"):
+        assert text(f"<article><p>one</p><div {gone}>two</div></article>") == "one"
+
+
+def test_copies_do_not_empty_each_other(spark):
+    body = "<body><div>Site</div><p>own words</p></body>"
+    rows = [(1, "http://a/x", body), (2, "http://a/x", body), (3, "http://b/1", body), (4, "http://b/1", body), (5, "http://b/2", body.replace("own", "new"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Site own words", 2: "Site own words", 3: "Site own words", 4: "own words", 5: "new words"}

@@ -3,7 +3,9 @@
 Pages of a host are put in order of path; each is paired with the neighbour whose path
 shares the longer beginning (the earlier one on ties).  Both pages' lines of text (blocks)
 are aligned by their longest common subsequence, and lines that a page shares with its pair
-are deleted as template.
+are deleted as template.  A neighbour that holds all lines of the page, or whose lines the page
+all holds, is a copy and tells nothing of template: the other neighbour is taken, or no line is
+deleted as shared.
 
 Differencing alone is not exact: navigation that differs from page to page would stay, and
 articles that quote each other would lose text.  An exact check on structure follows it: a
@@ -48,7 +50,7 @@ reply replies replies-list respond share sharing sidebar signup social sponsor s
 ROLES = "navigation banner contentinfo complementary search form alert dialog menu menubar".split()
 
 _TAG = re.compile(r"<(?:!--(?:>|->|(.*?)(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|([!?/][^>]*)>)", re.S)
-_NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _SPLIT = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 _BLOCKS, _VOID, _SKIPPED, _RAW, _FURNITURE, _ROLES = map(frozenset, (BLOCKS, VOID, SKIPPED, RAW, FURNITURE, ROLES))
 # Closing a block closes what is open within it; these end at the next of their kind.
@@ -60,7 +62,7 @@ def _furniture(name: str, attributes: str) -> bool:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    for m in _NAMES.finditer(attributes):
+    for m in _ATTRIBUTE.finditer(attributes):
         kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
             return True
@@ -232,15 +234,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
             n = 0
             while n < min(len(p), len(q)) and p[n] == q[n]:
                 n += 1
-            out += [(i, n, 0, shared(left, right)), (j, n, 1, shared(right, left))]
-        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32())))]
-        return pa.RecordBatch.from_arrays(columns, names=["at", "n", "earlier", "also"])
+            here, there = shared(left, right), shared(right, left)
+            differ = int(len(here) < min(len(left), len(right)))
+            out += [(i, differ, n, 0, here if differ else []), (j, differ, n, 1, there if differ else [])]
+        columns = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32())))]
+        return pa.RecordBatch.from_arrays(columns, names=["at", "differ", "n", "earlier", "also"])
 
     paired = map_batches(
         beside.select(F.col("a.hashes").alias("x"), F.col("b.hashes").alias("y"), F.col("a.path").alias("p"), F.col("b.path").alias("q"), F.col("a.at").alias("i"), F.col("b.at").alias("j")),
-        common, "at long, n int, earlier int, also array<int>",
+        common, "at long, differ int, n int, earlier int, also array<int>",
     )
-    nearest = paired.groupBy("at").agg(F.max(F.struct("n", "earlier", "also")).alias("best"))
+    nearest = paired.groupBy("at").agg(F.max(F.struct("differ", "n", "earlier", "also")).alias("best"))
     also = ordered.select(key, "th", "at").join(nearest, "at").groupBy(key, "th").agg(F.min("best.also").alias("also"))
 
     def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
