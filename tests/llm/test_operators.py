@@ -496,3 +496,57 @@ def test_personal_data_over_tables(odd, none):
     assert got[11]["redacted"] == "mail [EMAIL] or [PHONE]" and got[0]["redacted"] is None and got[4]["redacted"] == "one"
     assert got[0]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[0]["spans"] == ""
     assert pii.find(none, pii.fit(none)).count() == 0
+
+
+def by_document(rows):
+    """Class ids of rows (key, text), rows that share a key being one document; null keys stand alone."""
+    alone = partition([(i, t) for i, (_, t) in enumerate(rows)])
+    up = {i: i for i in range(len(rows))}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    first = {}
+    for i, (k, _) in enumerate(rows):
+        for j in (alone[i], *([first.setdefault(k, i)] if k is not None else [])):
+            up[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            least[find(i)] = min(least.get(find(i), k), k)
+    return Counter((k, least.get(find(i))) for i, (k, _) in enumerate(rows))
+
+
+def test_near_duplicates_of_shared_and_null_keys(spark):
+    draw = random.Random(14)
+    vocabulary = ["".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    make = lambda: " ".join(draw.choice(vocabulary) for _ in range(60))
+    a, b = make(), make()
+    rows = [(5, a), (5, b), (7, a + " more"), (8, b + " also"), (None, a + " again"), (None, make()), (None, make())]
+    assert by_document(rows)[5, 5] == 2 and by_document(rows)[8, 5] == 1
+    texts = [make() for _ in range(40)]
+    for _ in range(160):
+        text = draw.choice(texts) + draw.choice(["", "", " x", " y z"])
+        rows.append((draw.choice([None, *range(100, 190)]), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for block in (512, 16):
+        got = minhash.classes(docs, block=block).collect()
+        assert Counter((r["doc_id"], r["class_id"]) for r in got) == by_document(rows)
+
+
+def test_large_buckets_of_several_classes_equal_brute_force(spark):
+    """Texts of one template, at similarities on both sides of the threshold: buckets stay mixed and large."""
+    draw = random.Random(21)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for _ in range(300):
+        words = list(base[: draw.randint(110, 150)])
+        for at in draw.sample(range(len(words)), draw.randint(0, 12)):
+            words[at] = f"x{draw.randint(0, 10**6)}"
+        rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = partition(rows)
+    for block in (8, 64):
+        assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs, block=block).collect()} == want

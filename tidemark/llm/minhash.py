@@ -8,18 +8,19 @@ earliest point.  Two texts agree in a component with probability exactly their w
 Jaccard similarity.  Points come in order of time and stop once no component can still
 improve, all shingles of a batch advancing together in numpy.
 
-Candidates.  Components are banded.  Within a bucket all members are compared with one
+Candidates.  Each different text is signed once.  Components are banded.  Within a bucket all members are compared with one
 leader, not with each other.  Linked texts form classes; only where a bucket still holds
 different classes are their members compared across classes: in small buckets by a join
 (weighted Jaccard distance is a metric, so pairs whose distances to the leader differ by
-more than the threshold allows are left out without loss), in large ones block by block
-inside tasks that return links alone.  Every link is verified on whole texts.
+more than the threshold allows are left out without loss), in large ones by cells of
+distance and size, inside tasks that return links alone.  Every link is verified on whole texts.
 
 Defined results: words are runs of letters and digits in lower case; a text of one to four
 words is one shingle; texts without words are only equal to texts that are the same string,
 null counting as empty.  Texts that are the same string are always one class.  The class id
-is its smallest key.  Rows that share a key are kept and count as one document: what any of
-them links is linked.  A class of which all keys are null has a null id.
+is its smallest key.  Rows that share a key are kept and count as one document: their texts,
+however different, are in one class, and so is whatever is near any of them.  Rows with a null
+key are documents of their own; a class of which all keys are null has a null id.
 """
 
 from __future__ import annotations
@@ -138,14 +139,33 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def banded(docs: DataFrame, text: str, key: str, bands: int, rows: int) -> DataFrame:
-    """(k, t1, t2, keys): band keys of each text, null if it has no word; t1, t2 hash the text."""
+def distinct(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(node, t1, t2, least, z): each different text once, compressed, with a number of its own and its smallest key.
+
+    Copies meet by aggregation that begins before the exchange, so a text that fills a third of
+    all rows reaches no task more than once per partition.
+    """
     t1, t2 = key128(F.col(text))
-    source = docs.select(F.col(key).alias("k"), t1.alias("t1"), t2.alias("t2"), F.col(text).alias("text"))
+    source = docs.select(F.col(key).alias("k"), t1.alias("t1"), t2.alias("t2"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = source.schema["k"].dataType.simpleString()
 
+    def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=3)
+        column = [z.compress(x.as_py().encode("utf-8")) for x in batch.column(3)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(column, pa.binary())], names=["k", "t1", "t2", "z"])
+
+    packed = map_batches(source, squeeze, f"k {kind}, t1 long, t2 long, z binary")
+    once = packed.groupBy("t1", "t2").agg(F.first("z").alias("z"), F.min("k").alias("least"))
+    return materialize(once.select(F.monotonically_increasing_id().alias("node"), "t1", "t2", "least", "z"))
+
+
+def banded(bodies: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(node, keys, size): band keys of each text, null if it has no word, and how many shingles it has."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        plain = zstandard.ZstdDecompressor()
         out: list = []
+        sizes: list[int] = []
         group: list[np.ndarray] = []
         total = 0
 
@@ -155,23 +175,24 @@ def banded(docs: DataFrame, text: str, key: str, bands: int, rows: int) -> DataF
                 out.extend(k if len(b) else None for k, b in zip(keys, group))
                 group.clear()
 
-        for x in batch.column(3):
-            group.append(shingles(x.as_py() or ""))
-            total += len(group[-1])
+        for z in batch.column(1):
+            group.append(shingles(plain.decompress(z.as_py()).decode("utf-8")))
+            sizes.append(len(group[-1]))
+            total += sizes[-1]
             if total > _GROUP:
                 close()
                 total = 0
         close()
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.list_(pa.int64()))], names=["k", "t1", "t2", "keys"])
+        columns = [batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "keys", "size"])
 
-    return map_batches(source, run, f"k {kind}, t1 long, t2 long, keys array<long>")
+    return map_batches(bodies.select("node", "z"), run, "node long, keys array<long>, size long")
 
 
 def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
-    """(u, v, similarity) of pairs (u, v), from ``packed`` texts (k, z)."""
-    kind = packed.schema["k"].dataType.simpleString()
-    a = packed.select(F.col("k").alias("u"), F.col("z").alias("zu"))
-    b = packed.select(F.col("k").alias("v"), F.col("z").alias("zv"))
+    """(u, v, similarity) of pairs (u, v), from ``packed`` texts (node, z)."""
+    a = packed.select(F.col("node").alias("u"), F.col("z").alias("zu"))
+    b = packed.select(F.col("node").alias("v"), F.col("z").alias("zv"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         plain = zstandard.ZstdDecompressor()
@@ -185,7 +206,7 @@ def verify(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 
     # many pairs share a v, few a u: the skewed join comes first, where it is cheap to split
     met = pairs.join(b, "v").join(a, "u").select("u", "v", "zu", "zv")
-    return map_batches(met, run, f"u {kind}, v {kind}, similarity double")
+    return map_batches(met, run, "u long, v long, similarity double")
 
 
 def block_links(bags: list[np.ndarray], may: np.ndarray, threshold: float) -> np.ndarray:
@@ -218,33 +239,64 @@ def block_links(bags: list[np.ndarray], may: np.ndarray, threshold: float) -> np
     return np.argwhere(np.triu(may & (both >= threshold * total - 1e-4), 1))
 
 
-def in_blocks(large: DataFrame, reps: DataFrame, packed: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(u, v) of links across classes within large buckets: a task compares two blocks of a
-    bucket at once and returns links alone.  A pair counts in the first bucket that both are in."""
-    kind = packed.schema["k"].dataType.simpleString()
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = large.select("band", "h", "rep", "label", parts.alias("parts"), mine.alias("mine")).withColumn("other", other)
-    dealt = dealt.select("band", "h", "rep", "label", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    keys = reps.select("rep", "keys").join(large.select("rep").distinct(), "rep", "left_semi")
-    dealt = dealt.join(keys, "rep").join(packed.withColumnRenamed("k", "rep"), "rep")
+#: Shingles that one side of a comparison may hold in a task's memory, unless a single text has more.
+_SHINGLES = 1_000_000
+
+
+def in_blocks(large: DataFrame, signed: DataFrame, packed: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(u, v) of links across classes within large buckets.
+
+    Members of a bucket are dealt into cells by their distance to its leader and by their size:
+    texts whose cells don't touch can't reach the threshold (weighted Jaccard distance is a
+    metric, and a text with fewer than ``threshold`` times another's shingles is too far from
+    it).  Cells are cut into parts of about ``block`` texts and a bounded number of shingles; a
+    task compares two parts at once and returns links alone.  A pair counts in the first bucket
+    that both are in.
+    """
+    reach = 1 - threshold + 1e-9
+    near = F.floor(F.col("far") / reach).cast("int")
+    size = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / -float(np.log(threshold - 1e-9))).cast("int")
+    sides = signed.select("node", "keys", "size").join(large.select("node").distinct(), "node", "left_semi")
+    cells = materialize(large.select("band", "h", "node", "label", "far").join(sides.select("node", "size"), "node").withColumns({"a": near, "b": size}))
+    by = ["band", "h", "a", "b"]
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / _SHINGLES)).cast("int")
+    counted = materialize(cells.groupBy(*by).agg(parts.alias("parts")))
+    mine = cells.join(counted, by).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    steps = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)]
+    beside = mine.withColumn("to", F.explode(F.array(*steps))).withColumns({"a2": F.col("a") + F.col("to.x"), "b2": F.col("b") + F.col("to.y")})
+    other = counted.select("band", "h", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("parts").alias("parts2"))
+    met = beside.join(other, ["band", "h", "a2", "b2"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    here, there = F.struct("a", "b", "i"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("j").alias("i"))
+    dealt = met.select("band", "h", "node", "label", F.least(here, there).alias("one"), F.greatest(here, there).alias("two"), (here <= there).alias("left"))
+    # a part beside itself needs each of its texts once
+    dealt = dealt.join(sides.select("node", "keys"), "node").join(packed, "node")
 
     def meet(_, t):
         plain = zstandard.ZstdDecompressor()
         band = t.column("band")[0].as_py()
-        ids, label = t.column("rep").combine_chunks(), t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        ids, label = t.column("node").to_numpy(), t.column("label").to_numpy()
+        left = t.column("left").to_numpy()
         names = np.array(t.column("keys").to_pylist(), dtype=np.int64)
-        first = np.full((len(ids), len(ids)), names.shape[1], dtype=np.int16)
-        for k in range(names.shape[1] - 1, -1, -1):
-            first[names[:, k][:, None] == names[:, k][None, :]] = k
-        may = (label[:, None] != label[None, :]) & (first == band)
+        alone = t.column("one")[0].as_py() == t.column("two")[0].as_py()
+        may = label[:, None] != label[None, :]
+        if not alone:
+            may &= left[:, None] != left[None, :]
+        for k in range(band):  # pairs that an earlier bucket compares
+            may &= names[:, k][:, None] != names[:, k][None, :]
         found = np.zeros((0, 2), dtype=int)
         if may.any():
             found = block_links([shingles(plain.decompress(z).decode("utf-8")) for z in t.column("z").to_pylist()], may, threshold)
-        return pa.table([ids.take(pa.array(found[:, 0])), ids.take(pa.array(found[:, 1]))], names=["u", "v"])
+        return pa.table([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["u", "v"])
+
+    return dealt.groupBy("band", "h", "one", "two").applyInArrow(meet, "u long, v long")
 
-    return dealt.groupBy("band", "h", "i", "j").applyInArrow(meet, f"u {kind}, v {kind}")
+
+def same_key(rows: DataFrame) -> DataFrame:
+    """(u, v) that tie the texts of rows that share a key, from (k, node); null keys tie nothing."""
+    several = materialize(
+        rows.where("k IS NOT NULL").groupBy("k").agg(F.min("node").alias("v"), F.max("node").alias("last")).where("v < last").drop("last")
+    )
+    return rows.join(several, "k").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
 
 
 def classes(
@@ -254,65 +306,61 @@ def classes(
 ) -> DataFrame:
     """(key, class_id, is_first) of every row.
 
-    Members of buckets of up to ``block`` / 8 texts meet by a join, at most so many a text;
-    those of larger ones in blocks of about ``block`` texts.
+    Nodes are different texts, whatever their keys; keys join at the end.  Members of buckets of
+    up to ``block`` / 8 texts meet by a join, at most so many a text; those of larger ones in
+    parts of about ``block`` texts.
     """
-    signed = materialize(banded(docs, text, key, bands, rows))
-    # one text stands for all that are the same string
-    alike = signed.groupBy("t1", "t2").agg(F.min("k").alias("rep"), F.min("keys").alias("keys"))
-    reps = materialize(alike)
-    cells = reps.where("keys IS NOT NULL").select("rep", F.posexplode("keys").alias("band", "h"))
+    bodies = distinct(docs, text, key)
+    signed = materialize(banded(bodies, bands, rows))
+    cells = signed.where("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "h"))
     # written before it is joined, so that both sides are plain exchanges, which Spark splits
     # where a bucket is hot
-    buckets = materialize(cells.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").drop("n"))
+    buckets = materialize(cells.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1").drop("n"))
     members = materialize(cells.join(buckets, ["band", "h"]))
+    packed = materialize(bodies.select("node", "z").join(members.select("node").distinct(), "node", "left_semi"))
 
-    def squeeze(batch: pa.RecordBatch) -> pa.RecordBatch:
-        z = zstandard.ZstdCompressor(level=3)
-        column = [z.compress((x.as_py() or "").encode("utf-8")) for x in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(column, pa.binary())], names=["k", "z"])
-
-    kind = signed.schema["k"].dataType.simpleString()
-    involved = members.select(F.col("rep").alias("k")).distinct()
-    t1, t2 = key128(F.col(text))
-    packed = map_batches(docs.select(F.col(key).alias("k"), F.col(text).alias("text")), squeeze, f"k {kind}, z binary")
-    packed = materialize(packed.join(involved, "k", "left_semi").groupBy("k").agg(F.min("z").alias("z")))
-
-    first = members.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
+    first = members.where("node <> leader").select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     tested = materialize(verify(first, packed))
     linked = tested.where(F.col("similarity") >= threshold).select("u", "v")
+    t1, t2 = key128(F.col(text))
+    placed_rows = docs.select(F.col(key).alias("k"), t1.alias("t1"), t2.alias("t2")).join(bodies.select("t1", "t2", "node"), ["t1", "t2"]).select("k", "node")
+    placed_rows = materialize(placed_rows)
+    shared = materialize(same_key(placed_rows))
+    if not shared.isEmpty():
+        linked = linked.unionByName(shared)
     found = components(linked)
     # where a bucket still has several classes, compare across them
     far = F.map_from_entries(F.collect_list(F.struct("v", 1 - F.col("similarity"))))
-    known = tested.groupBy(F.col("u").alias("rep")).agg(far.alias("far"))  # to its leaders, one a band at most
-    known = known.join(found.select(F.col("node").alias("rep"), "label"), "rep", "full_outer")
-    placed = materialize(members.join(known, "rep", "left").select(
-        "band", "h", "rep", "leader", F.coalesce("label", "rep").alias("label"),
+    known = tested.groupBy(F.col("u").alias("node")).agg(far.alias("far"))  # to its leaders, one a band at most
+    known = known.join(found, "node", "full_outer")
+    placed = materialize(members.join(known, "node", "left").select(
+        "band", "h", "node", "leader", F.coalesce("label", "node").alias("label"),
         F.coalesce(F.try_element_at("far", F.col("leader")), F.lit(0.0)).alias("far"),
     ))
     mixed = materialize(
         placed.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
         .where("a <> b").select("band", "h", "n")
     )
-    open_ = materialize(placed.join(mixed, ["band", "h"]).where("rep <> leader"))
+    open_ = materialize(placed.join(mixed, ["band", "h"]).where("node <> leader"))
     small = open_.where(F.col("n") <= block // 8)
     x, y = small.alias("x"), small.alias("y")
     near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9
     across = x.join(
         y,
         (F.col("x.band") == F.col("y.band")) & (F.col("x.h") == F.col("y.h"))
-        & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near,
-    ).select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct()
+        & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & near,
+    ).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
     # a leader is the smallest of its bucket, so tested pairs have the smaller text as v
     across = across.join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     more = verify(across, packed).where(F.col("similarity") >= threshold).select("u", "v")
     large = open_.where(F.col("n") > block // 8)
     if not large.isEmpty():
-        more = more.unionByName(in_blocks(large, reps, packed, threshold, block))
+        more = more.unionByName(in_blocks(large, signed, packed, threshold, block))
     more = materialize(more)
     if not more.isEmpty():
         found = components(linked.unionByName(more))
-    label = found.select(F.col("node").alias("rep"), "label")
-    by_text = reps.select("t1", "t2", "rep").join(label, "rep", "left").select("t1", "t2", F.coalesce("label", "rep").alias("class_id"))
-    whole = signed.select("k", "t1", "t2").join(by_text, ["t1", "t2"]).select("k", "class_id")
+    named = bodies.select("node", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialize(named)
+    class_id = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    whole = placed_rows.join(named.join(class_id, "label").select("node", "class_id"), "node")
     return whole.select(F.col("k").alias(key), "class_id", F.col("k").eqNullSafe(F.col("class_id")).alias("is_first"))
