@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import os
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -454,35 +456,71 @@ def test_components(spark):
 # pages
 
 
-def test_pages_pair_with_the_nearest_url(spark):
+def blocks(body):
+    """(tag, text) of each simple block, by a pattern of its own."""
+    return re.findall(r"<(div|p)>(.*?)</\1>", body)
+
+
+def aligned(a, b):
+    """Places in ``a`` of a longest common subsequence, by the table of all lengths (lines of a page are different here)."""
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    i, j, out = len(a), len(b), set()
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif best[i - 1][j] >= best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+@pytest.mark.parametrize("main", [False, True])
+def test_pages_equal_brute_force(spark, main):
     draw = random.Random(3)
+    quotes = [prose(draw, 7) + f" {i}" for i in range(6)]
     rows = []
-    for i in range(120):
+    for i in range(150):
         host = f"h{draw.randint(0, 3)}.example"
-        body = "".join(f"<div>{x}</div>" for x in ["Site " + host, *[prose(draw, 4) for _ in range(3)], f"Imprint {host}"])
-        rows.append((i, f"http://{host}/{draw.choice('ab')}/{draw.randint(0, 40)}", f"<body>{body}</body>", "x"))
-    rows += [(500, None, None, "x"), (501, "nonsense", "", "x"), (502, "http://lonely/", "<p>all mine</p>", "x"), rows[0]]
+        own = [f"<p>{prose(draw, 4)} {i} {j}</p>" for j in range(draw.randint(1, 5))] + [f"<p>{q}</p>" for q in draw.sample(quotes, draw.randint(0, 2))]
+        own = "".join(own)
+        own = f"<article>{own}</article>" if main and i % 3 else own
+        rows.append((i, f"http://{host}/{draw.choice('ab')}/{draw.randint(0, 400)}", f"<body><div>Site {host}</div><div>Menu {draw.randint(0, 2)}</div>{own}<div>Imprint {host}</div></body>", "x"))
+    rows += [(500, None, None, "x"), (501, "nonsense", "", "x"), (502, "http://lonely/", "<p>all mine</p>", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, at string").repartition(7)
-    got = Counter(tuple(r)[:4] for r in html.extract(pages).collect())
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html.extract(pages).collect()}
     order = defaultdict(list)
-    for i, url, body, _ in rows:
-        if url and "://" in url:
-            host, _, path = url.partition("://")[2].partition("/")
-            order[host].append(("/" + path, i, body))
-    want = Counter()
+    for i, url, body, _ in rows[:150]:
+        host, _, path = url.partition("://")[2].partition("/")
+        order[host].append(("/" + path, i, body))
     for pages_of in order.values():
         pages_of.sort(key=lambda p: p[:2])
         for at, (path, i, body) in enumerate(pages_of):
-            agree = lambda j: next((n for n, (x, y) in enumerate(zip(path, pages_of[j][0])) if x != y), min(len(path), len(pages_of[j][0])))  # noqa: B023, E731
-            near = max((j for j in (at - 1, at + 1) if 0 <= j < len(pages_of)), key=lambda j: (agree(j), j < at), default=None)  # noqa: B023
-            mine = html.lines(body)
-            also = set(html.shared([t for t, _, _ in mine], [t for t, _, _ in html.lines(pages_of[near][2])])) if near is not None else set()
-            text = html.main_text(mine, also)
-            want[i, f"http://{pages_of and [h for h, p in order.items() if p is pages_of][0]}{path}", text, len(text)] += 1
-    check = Counter({k: n for k, n in got.items() if k[0] < 500 or k[0] == 502})
-    twins = {rows[0][0]}
-    assert {k: n for k, n in check.items() if k[0] not in twins} == {k: n for k, n in want.items() if k[0] not in twins}
-    assert got[500, None, "", 0] == got[501, "nonsense", "", 0] == 1 and sum(n for k, n in got.items() if k[0] == 0) == 2
+            mine, found = blocks(body), []
+            for j in (at - 1, at + 1):
+                if 0 <= j < len(pages_of):
+                    other, theirs = pages_of[j][0], blocks(pages_of[j][2])
+                    both = aligned(mine, theirs)
+                    agree = len(os.path.commonprefix([path, other]))
+                    copy = len(both) >= min(len(mine), len(theirs))
+                    paragraphs = {n for n in both if mine[n][0] == "p"}
+                    version = 2 * len(paragraphs) >= sum(t == "p" for t, _ in mine)
+                    found.append(((not copy, agree, j < at), set() if copy else both - paragraphs, set() if copy or version else paragraphs))
+            gone = max(found)[1] | (found[0][2] & found[1][2] if len(found) == 2 else set())
+            inside = blocks(re.search("<article>(.*)</article>", body)[1]) if "<article>" in body else None
+            text = " ".join(t for n, (_, t) in enumerate(mine) if n not in gone) if inside is None else " ".join(t for _, t in inside)
+            assert got[i] == (rows[i][1], text, len(text))
+    assert got[500] == (None, "", 0) and got[501] == ("nonsense", "", 0) and got[502][1] == "all mine"
+
+
+def test_repeated_and_no_pages(spark):
+    rows = [(1, "http://a/1", "<p>x</p>", "c"), (1, "http://a/1", "<p>x</p>", "c"), (1, "http://a/1", "<p>y</p>", "c"), (None, "http://a/2", "<p>z</p>", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at string")
+    assert Counter((r["page_id"], r["text"]) for r in html.extract(pages).collect()) == {(1, "x"): 2, (1, "y"): 1, (None, "z"): 1}
     assert html.extract(pages.where("false")).count() == 0
 
 

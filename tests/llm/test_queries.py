@@ -14,7 +14,7 @@ COLUMNS = {
     "op6_nearest_neighbours": "query_id bigint, rank int, vec_id bigint, score double",
     "op7_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op8_near_duplicates": "doc_id bigint, class_id bigint, is_first boolean",
-    "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint, n_shared bigint",
+    "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint, n_structure bigint, n_protected bigint",
     "op10_personal_data": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
 }
 
