@@ -1,17 +1,24 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
-Pieces of documents and the gaps of open sequences are both kept in order of size.  In each
-step one run of equal pieces, the longest not yet placed, sweeps the gaps upwards from its
-own length: the successor gap run takes as many pieces as it has sequences, the rest go on
-to the next successor, and what no gap can take opens new sequences.  Who goes where is
-settled by rank: the piece of rank r within its run goes to the r-th place.  The gaps that
-were used are put back at their new sizes, and the next step begins.  This is best fit over
-decreasing lengths, for whole runs at a time.
-
-Only run lengths meet on the driver: there are at most ``capacity`` runs of pieces and of
-gaps, however many documents there are.  The rows themselves are range-sorted once by
-length and key, which yields every rank from the partitions' row counts with no group in
-one task, and then read their place from the plan.
+Pieces of documents and the gaps of open sequences are two tables of runs: so many pieces of
+one length, so many sequences with one gap.  A round
+
+1. opens as many new sequences as pieces longer than every gap need at least: by their number,
+   as no sequence holds more than q of those longer than 1/(q + 1) of it, and by their volume;
+2. deals both tables out by range of size and sorts each range;
+3. sweeps every range in a task of its own: each gap run, the smallest first, takes the longest
+   run of pieces that fits, as many side by side as fit, and goes on with what is left of it.
+   Who goes where is settled by rank: the piece of rank r within its run goes to the r-th place;
+4. writes placements, what is left of pieces, and the gaps at their new sizes.
+
+Gaps that sink into another range meet its pieces in the next round.  Ranges are halved in
+number every round, so that the last rounds see all sizes; the end comes when no piece is left.
+A range holds about :data:`RUNS` runs, and there is one run of pieces a length, so the tables
+follow the capacity and not the documents.
+
+Rows are range-sorted once by length and key, which yields every rank with no group in one
+task; rows and placements then meet by length and stretch of ranks.  Nothing but a few sums
+reaches the driver.
 
 Defined results: a null text is empty and has one token, the end mark.  Documents longer
 than the capacity are cut; the first piece takes the remainder.  Repeated keys are packed as
@@ -22,15 +29,15 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytebpe import load
-from tidemark.llm.common import map_batches, materialize
+from tidemark.llm.common import map_batches, materialize, ship
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -55,117 +62,132 @@ def pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, text
     return map_batches(df.select(key, text), run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-@dataclass
-class Plan:
-    """Where the ranks of each length go: from ``rank`` on, one sequence each from ``sequence`` on, at ``offset``.
+#: Runs that one range may hold, and ranks of a length that meet their placements in one task.
+RUNS, STRETCH = 8192, 1 << 16
+
+PIECES, GAPS, PLACED = 0, 1, 2
+#: ``first`` is a run's first rank or sequence; placements put ``each`` pieces of length ``size`` from
+#: ``rank`` on side by side at ``offset`` into each of ``count`` sequences.
+RUN = "kind int, size long, first long, count long, rank long, offset long, each long"
+
+
+def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int) -> Iterator[tuple]:
+    """Rows of :data:`RUN` after runs of gaps, each (size, first, count), took from runs of pieces."""
+    left = {size: [first, count] for size, first, count in pieces}
+    sizes = sorted(left)
+    todo = sorted(gaps, reverse=True)
+    while todo:
+        gap, first, count = todo.pop()
+        at = bisect.bisect_right(sizes, gap) - 1
+        if at < 0:
+            yield GAPS, gap, first, count, 0, 0, 0
+            continue
+        length = sizes[at]
+        rank, n = left[length]
+        each = min(gap // length, n)
+        used = min(count, n // each)
+        yield PLACED, length, first, used, rank, capacity - gap, each
+        if n == used * each:
+            del left[length], sizes[at]
+        else:
+            left[length] = [rank + used * each, n - used * each]
+        # what is untouched waits below what goes on, so the sequence begun is finished first
+        if count > used:
+            todo.append((gap, first + used, count - used))
+        if gap > each * length:
+            todo.append((gap - each * length, first, used))
+    for length, (rank, n) in left.items():
+        yield PIECES, length, rank, n, 0, 0, 0
+
+
+def rounds(runs: DataFrame, capacity: int, most: int = RUNS) -> tuple[list[DataFrame], int, int]:
+    """Placements of all pieces of ``runs`` (length, n), the number of sequences, and of rounds."""
+    zero = F.lit(0).cast("long")
+    state = materialize(runs.select(
+        F.lit(PIECES).alias("kind"), F.col("length").alias("size"), zero.alias("first"), F.col("n").alias("count"),
+        zero.alias("rank"), zero.alias("offset"), zero.alias("each"),
+    ))
+    ship(runs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both: tuple[list, list] = ([], [])
+        for batch in batches:
+            for kind, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                both[kind].append(tuple(row))
+        out = list(sweep(*both, capacity))
+        kinds = [pa.int32(), *[pa.int64()] * 6]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
+
+    names = state.columns
+    placed, opened, turn, ranges = [], 0, 0, 0
+    is_piece = F.col("kind") == PIECES
+    while True:
+        seen = state.agg(F.count_if(is_piece).alias("pieces"), F.max(F.when(~is_piece, F.col("size"))).alias("gap"), F.count(F.lit(1)).alias("runs")).first()
+        if not seen["pieces"]:
+            return placed, opened, turn
+        stuck = state.where(is_piece & (F.col("size") > (seen["gap"] or 0))).groupBy(F.floor(F.lit(capacity) / F.col("size")).alias("q"))
+        need = stuck.agg(F.sum("count").alias("n"), F.sum(F.col("size") * F.col("count")).alias("volume"))
+        need = need.agg(F.min(F.struct("q", "n")).alias("largest"), F.sum("volume").alias("volume")).first()
+        if need["largest"]:
+            new = max(-(-need["largest"]["n"] // need["largest"]["q"]), -(-need["volume"] // capacity))
+            more = runs.sparkSession.createDataFrame([(GAPS, capacity, opened, new, 0, 0, 0)], RUN)
+            state, opened = state.unionByName(more), opened + new
+        ranges = max(1, -(-seen["runs"] // most) if not turn else ranges // 2)
+        dealt = state.repartitionByRange(ranges, "size") if ranges > 1 else state.coalesce(1)
+        turn += 1
+        after = materialize(dealt.mapInArrow(run, RUN))
+        placed.append(after.where(F.col("kind") == PLACED))
+        state = after.where(F.col("kind") != PLACED)
+
+
+def ranks(parts: DataFrame, key: str) -> DataFrame:
+    """``parts`` with ``__rank`` among the rows of the same length, in order of key and piece."""
+    # dealing out by range reads its input twice, once for samples
+    ordered = materialize(
+        materialize(parts)
+        .repartitionByRange(F.col("length"), F.col(key), F.col("piece"))
+        .sortWithinPartitions("length", key, "piece")
+        .withColumn("__at", F.monotonically_increasing_id())
+    )
+    part = F.shiftright("__at", 33).alias("__p")
+    # one row for each partition and each border between lengths within it
+    starts = ordered.groupBy(part, F.col("length").alias("__l")).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__l").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = starts.select(F.col("__p").alias("__q"), "__l", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"))
+    # broadcast: no more rows than partitions and lengths together
+    met = ordered.withColumn("__p", part).join(F.broadcast(starts), (F.col("__p") == F.col("__q")) & (F.col("length") == F.col("__l")))
+    return met.select(*parts.columns, (F.col("__at") + F.col("__shift")).alias("__rank"))
 
-    With ``each`` over 1, so many consecutive ranks share a sequence, side by side.
-    """
 
-    length: list[int] = field(default_factory=list)
-    rank: list[int] = field(default_factory=list)
-    sequence: list[int] = field(default_factory=list)
-    offset: list[int] = field(default_factory=list)
-    each: list[int] = field(default_factory=list)
-    sequences: int = 0
-
-    def add(self, length: int, rank: int, sequence: int, offset: int, each: int = 1) -> None:
-        for column, x in zip((self.length, self.rank, self.sequence, self.offset, self.each), (length, rank, sequence, offset, each)):
-            column.append(x)
-
-
-def plan(counts: dict[int, int], capacity: int) -> Plan:
-    """Best fit of ``counts`` pieces of each length, longest first, a whole run in each step."""
-    out = Plan()
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size -> runs of sequences (first, count)
-    sizes: list[int] = []  # the sizes that gaps have, in order
-
-    def put(size: int, first: int, count: int) -> None:
-        if size and count:
-            if size not in gaps:
-                gaps[size] = []
-                bisect.insort(sizes, size)
-            gaps[size].append((first, count))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at == len(sizes):
-                each = capacity // length
-                full, rest = divmod(left, each)
-                for count, n in ((full, each), (1 if rest else 0, rest)):
-                    if count:
-                        out.add(length, rank, out.sequences, 0, n)
-                        put(capacity - n * length, out.sequences, count)
-                        out.sequences += count
-                        rank += count * n
-                left = 0
-                continue
-            size = sizes[at]
-            first, count = gaps[size].pop()
-            if not gaps[size]:
-                del gaps[size], sizes[at]
-            used = min(count, -(-left // (size // length)))
-            each = min(size // length, left)
-            whole = min(used, left // each)
-            if whole < used:
-                put(size, first + whole, count - whole)
-            else:
-                put(size, first + used, count - used)
-            out.add(length, rank, first, capacity - size, each)
-            put(size - each * length, first, whole)
-            rank += whole * each
-            left -= whole * each
-    return out
-
-
-def pack(parts: DataFrame, capacity: int = 1024, key: str = "doc_id") -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 1024, key: str = "doc_id", most: int = RUNS, stretch: int = STRETCH) -> DataFrame:
     """``parts`` with ``sequence_id`` and ``offset``; sequences are full from 0 on without gaps.
 
     ``parts`` needs (key, piece, length) with lengths from 1 to ``capacity``; other columns stay.
     """
     columns = parts.columns
-    # dealing out by range reads its input twice, once for samples
-    ranked = materialize(
-        materialize(parts)
-        .repartitionByRange(F.col("length"), F.col(key), F.col("piece"))
-        .sortWithinPartitions("length", key, "piece")
-        .withColumn("__at", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("__at", 33)
-    sizes = sorted((r["p"], r["n"]) for r in ranked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    counts = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, total = {}, 0
-    for p, n in sizes:
-        before[p] = total
-        total += n
-    start, total = {}, 0
-    for length in sorted(counts):
-        start[length] = total
-        total += counts[length]
-    made = plan(counts, capacity)
-    order = sorted(range(len(made.length)), key=lambda i: (made.length[i], made.rank[i]))
-    first = np.array([start[made.length[i]] + made.rank[i] for i in order], dtype=np.int64)
-    table = np.array([(made.sequence[i], made.offset[i], made.each[i]) for i in order], dtype=np.int64).reshape(-1, 3)
-    offsets = np.zeros(max(before, default=-1) + 1, dtype=np.int64)
-    offsets[list(before)] = list(before.values())
-    shared = parts.sparkSession.sparkContext.broadcast((offsets, first, table))
+    ranked = materialize(ranks(parts, key))
+    placed, _, _ = rounds(ranked.groupBy(F.col("length").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n")), capacity, most)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields]
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        offsets, first, table = shared.value
-        at = batch.column("__at").to_numpy()
-        length = batch.column("length").to_numpy()
-        rank = offsets[at >> 33] + (at & ((1 << 33) - 1)) if len(at) else at
-        row = np.searchsorted(first, rank, side="right") - 1
-        sequence, offset, each = table[row].T if len(at) else (at, at, at)
-        turn = rank - first[row] if len(at) else at
-        seq = sequence + turn // np.maximum(each, 1)
-        off = offset + turn % np.maximum(each, 1) * length
-        return pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in columns), pa.array(seq, pa.int64()), pa.array(off, pa.int64())],
-            names=[*columns, "sequence_id", "offset"],
-        )
-
-    return map_batches(ranked, run, ", ".join([*fields, "sequence_id long", "offset long"]))
+    if not placed:
+        return ranked.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    plan = placed[0]
+    for more in placed[1:]:
+        plan = plan.unionByName(more)
+    last = F.col("rank") + F.col("count") * F.col("each") - 1
+    blocks = F.sequence(F.floor(F.col("rank") / stretch), F.floor(last / stretch))
+    plan = plan.select(F.col("size").alias("__l"), F.explode(blocks).alias("__b"), "rank", "first", "offset", "each")
+    rows = ranked.withColumns({"__l": F.col("length").cast("long"), "__b": F.floor(F.col("__rank") / stretch)})
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        rank = left.column("__rank").to_numpy()
+        starts = right.column("rank").to_numpy()
+        order = np.argsort(starts, kind="stable")
+        row = order[np.searchsorted(starts[order], rank, side="right") - 1] if len(order) else np.zeros(0, dtype=int)
+        first, offset, each = (right.column(c).to_numpy()[row] for c in ("first", "offset", "each"))
+        turn = rank - starts[row]
+        length = left.column("length").to_numpy()
+        more = [pa.array(first + turn // each, pa.int64()), pa.array(offset + turn % each * length, pa.int64())]
+        return pa.table([*(left.column(c) for c in columns), *more], names=[*columns, "sequence_id", "offset"])
+
+    met = rows.groupBy("__l", "__b").cogroup(plan.groupBy("__l", "__b"))
+    return met.applyInArrow(meet, ", ".join([*fields, "sequence_id long", "offset long"]))
