@@ -14,7 +14,9 @@ change: a word that no pattern matches becomes a span if its belief is ``least``
 a path of skip edges leads to a base span of that kind, so documents without any base span
 are left alone.
 
-Weights are log ratios of counts from a bounded sample (:func:`fit`).
+Weights are log ratios of counts from a bounded sample (:func:`fit`).  Only base spans are
+labelled there, so the weight of agreement is counted over base spans that repeat each other, as
+if one of the two were masked; unlabelled repeats tell nothing of it.
 
 Defined results: null text counts as empty.  Offsets are code points, ends exclusive.
 Repeated rows are answered alike; other columns never matter.
@@ -254,7 +256,8 @@ def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000, max_traits:
                 seen["label", y] += 1
                 seen.update(("trait " + t, y) for t in traits(n, whole))
             seen.update((f"chain {a}", b) for a, b in zip(labels, labels[1:]))
-            seen.update(("skip", int(labels[i] == labels[j])) for i, j in skips(ns))
+            # base spans that repeat each other: masked, either tells whether the tie would give its label back
+            seen.update(("skip", int(labels[i] == labels[j])) for i, j in skips(ns) if labels[i] and labels[j])
         names, values = zip(*seen) if seen else ((), ())
         columns = [pa.array(names, pa.string()), pa.array(values, pa.int32()), pa.array(list(seen.values()), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["what", "label", "n"])
@@ -312,13 +315,8 @@ def beliefs(unary: np.ndarray, edges: list[tuple[int, int]], potentials: list[np
     return np.exp(total)
 
 
-def more_spans(text: str, base: list[Span], model: Model, least: float = 0.5) -> list[Span]:
-    """Spans the field adds to the base ones."""
-    if not base:
-        return []
-    ns = nodes(text, base)
-    if all(n.label for n in ns):
-        return []
+def field(text: str, ns: list[Node], model: Model) -> tuple[np.ndarray, list[tuple[int, int]], list[np.ndarray], list[tuple[int, int]]]:
+    """A document's field: unaries, edges with their potentials, and which of the edges are skip edges."""
     unary = np.zeros((len(ns), len(LABELS)))
     near, weight = anchors(ns), model.anchor()
     for i, n in enumerate(ns):
@@ -335,7 +333,18 @@ def more_spans(text: str, base: list[Span], model: Model, least: float = 0.5) ->
     tied = skips(ns)
     chain = [(i, i + 1) for i in range(len(ns) - 1)]
     same = np.eye(len(LABELS)) * model.skip
-    found = beliefs(unary, [*chain, *tied], [model.chain] * len(chain) + [same] * len(tied))
+    return unary, [*chain, *tied], [model.chain] * len(chain) + [same] * len(tied), tied
+
+
+def more_spans(text: str, base: list[Span], model: Model, least: float = 0.5, marginals=beliefs) -> list[Span]:
+    """Spans the field adds to the base ones; ``marginals`` of (unaries, edges, potentials) decide."""
+    if not base:
+        return []
+    ns = nodes(text, base)
+    if all(n.label for n in ns):
+        return []
+    unary, edges, potentials, tied = field(text, ns, model)
+    found = marginals(unary, edges, potentials)
     top = list(range(len(ns)))
 
     def root(i: int) -> int:
