@@ -101,3 +101,51 @@ def test_empty_input(spark):
     rows = spark.createDataFrame([], "sort_key long")
     assert reads.positions(rows).count() == reads.neighbours(rows).count() == 0
     assert reads.scan(rows, Bounds(1, 2)).count() == 0
+
+
+def _kinds():
+    from datetime import date, timedelta
+    from decimal import Decimal
+
+    day = lambda x: date(2020, 1, 1) + timedelta(days=x)
+    return {
+        "long": ("long", lambda x: x), "name": ("string", lambda x: f"Customer#{x:09d}"), "date": ("date", day),
+        "decimal": ("decimal(12,3)", lambda x: Decimal(x) / 8), "binary": ("binary", lambda x: f"{x:05d}".encode()),
+        "pair": ("struct<_0:int,_1:string>", lambda x: (x % 7, f"v{x:05d}")), "double": ("double", lambda x: 10.0 ** (x % 300)),
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(_kinds()))
+def test_ordered_reads_of_any_key_in_many_ranges(spark, kind):
+    draw = random.Random(8)
+    sql, make = _kinds()[kind]
+    keys = sorted({make(draw.randint(0, 3000)) for _ in range(300)})
+    hot = make(draw.randint(0, 3000))
+    keys = sorted({*keys, hot})
+    listed = [*keys, *[hot] * 200, None, None]
+    draw.shuffle(listed)
+    probes = [*{make(draw.randint(0, 3100)) for _ in range(150)}, *[hot] * 300, None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(listed)], f"sort_key {sql}, i int").repartition(3)
+    asks = spark.createDataFrame([(p, i) for i, p in enumerate(probes)], f"probe {sql}, j int").repartition(2)
+    plain = lambda v: tuple(v) if isinstance(v, tuple) else bytes(v) if isinstance(v, bytearray) else v
+    order = sorted((k for k in listed if k is not None))
+    for n in (1, 40):
+        up = sorted((r["pos"], plain(r["sort_key"])) for r in reads.positions(rows, ranges=n).collect())
+        assert [p for p, _ in up] == list(range(1, len(listed) + 1)) and [k for _, k in up] == [None, None, *order]
+        down = sorted((r["pos"], plain(r["sort_key"])) for r in reads.positions(rows, descending=True, ranges=n).collect())
+        assert [k for _, k in down] == [*order[::-1], None, None]
+        got = sorted((plain(r["sort_key"]), plain(r["prev_key"]), plain(r["next_key"])) for r in reads.neighbours(rows.where("i IS NOT NULL").dropDuplicates(["sort_key"]), ranges=n).collect() if r["sort_key"] is not None)
+        assert got == [(k, keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None) for i, k in enumerate(keys)]
+        for cmp, ok, pick in ((LE, lambda k, p: k <= p, max), (LT, lambda k, p: k < p, max), (GE, lambda k, p: k >= p, min), (GT, lambda k, p: k > p, min)):
+            got = sorted(((plain(r["probe"]), plain(r["nearest"])) for r in reads.seek_nearest(rows, asks, cmp, ranges=n).collect()), key=repr)
+            assert got == sorted(((p, None if p is None else pick((k for k in keys if ok(k, p)), default=None)) for p in probes), key=repr), (cmp, n)
+
+
+def test_ranges_hold_their_share(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).selectExpr("format_string('Customer#%09d', id) AS sort_key", "id")
+    rows = rows.unionByName(spark.range(10_000).selectExpr("'Customer#000000777' AS sort_key", "id + 100000 AS id"))
+    dealt = reads.Ranges(rows, "sort_key", 16)
+    sizes = [r["count"] for r in rows.groupBy(dealt.of(F.col("sort_key"), F.xxhash64("sort_key", "id")).alias("r")).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 30_000 / 16

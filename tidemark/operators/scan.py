@@ -11,10 +11,12 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LT, LE, GT, GE = "<", "<=", ">", ">="
-#: Ranges that keys are dealt into for ranks and nearest keys; their per-range results are joined by broadcast.
-RANGES = 1024
+#: Most ranges that keys are dealt into for ranks and nearest keys, rows that one of them should hold, and
+#: sampled keys a range.  What is known of each range is joined by broadcast: at most so many rows.
+RANGES, SHARE, SAMPLED = 1024, 50_000, 20
 
 
 @dataclass(frozen=True)
@@ -89,30 +91,75 @@ def exists(rows: DataFrame, probes: DataFrame, key: str = "sort_key", probe: str
     return probes.join(keys, probes[probe] == keys["__key"], "left").select(*probes.columns, F.coalesce("__there", F.lit(False)).alias("found"))
 
 
-def ranges_of(rows: DataFrame, key: str, n: int = RANGES) -> Column:
-    """The number, rising with the key, of one of ``n`` equal stretches of the key's span.
+def typed(value: Any, kind: T.DataType) -> Column:
+    """A collected value as a literal of its own type, structs included."""
+    if isinstance(kind, T.StructType) and value is not None:
+        return F.struct(*[typed(value[i], f.dataType).alias(f.name) for i, f in enumerate(kind.fields)])
+    return F.lit(value).cast(kind)
 
-    Numbers use their value, strings and binary their first seven bytes.
+
+class Ranges:
+    """Ranges of about equal numbers of rows, between quantiles of a sample of the keys.
+
+    Works for every type that Spark can order.  Rows with a null key are a range of their own,
+    below all others.  A key that fills several ranges is spread over them.
     """
-    kind = rows.schema[key].dataType.typeName()
-    if kind in ("string", "binary"):
-        head = F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 7)), 14, "0"), 16, 10)
-        value = head.cast("double")
-    else:
-        value = F.col(key).cast("double")
-    low, high = rows.select(F.min(value), F.max(value)).first()
-    if low is None or low == high:
-        return F.lit(0)
-    return F.floor((value - F.lit(low)) / F.lit((high - low) / n)).cast("int")
-
-
-def positions(rows: DataFrame, key: str = "sort_key", descending: bool = False, name: str = "pos") -> DataFrame:
+
+    def __init__(self, rows: DataFrame, key: str, n: int | None = None):
+        self.key, self.kind = key, rows.schema[key].dataType
+        keys = rows.select(key).where(F.col(key).isNotNull())
+        total = keys.count() if n is None or n > 1 else 0
+        self.n = max(1, min(RANGES, -(-total // SHARE))) if n is None else n
+        cuts: list = []
+        if self.n > 1 and total:
+            rate = min(1.0, 2 * SAMPLED * self.n / total)
+            # no more than a small multiple of SAMPLED * RANGES keys
+            drawn = (keys if rate == 1.0 else keys.sample(rate, seed=7)).orderBy(key).collect()
+            cuts = [drawn[len(drawn) * i // self.n][0] for i in range(1, self.n)] if drawn else []
+        self.cuts: list = []
+        self.times: list[int] = []
+        for c in cuts:
+            if self.cuts and self.cuts[-1] == c:
+                self.times[-1] += 1
+            else:
+                self.cuts.append(c)
+                self.times.append(1)
+
+    def of(self, key: Column, spread: Column | None = None, top: bool = False) -> Column:
+        """The number of a key's range.  Where a key fills several, ``spread`` (a hash) picks one,
+        else it is the first of them, or the last with ``top``."""
+        if not self.cuts:
+            return F.when(key.isNull(), -1).otherwise(0)
+        width = 32
+        cuts = F.array(*[typed(c, self.kind) for c in self.cuts])
+        coarse = [typed(c, self.kind) for c in self.cuts[width - 1 :: width]]
+        # how many cuts lie below the key: first among every 32nd, then among those between
+        block = F.size(F.filter(F.array(*coarse), lambda c: c < key)) if coarse else F.lit(0)
+        below = block * width + F.size(F.filter(F.slice(cuts, block * width + 1, width), lambda c: c < key))
+        if max(self.times) == 1:
+            return F.when(key.isNull(), -1).otherwise(below)
+        starts = [sum(self.times[:i]) for i in range(len(self.times) + 1)]
+        first = F.get(F.array(*[F.lit(x) for x in starts]), below)
+        times = F.when(F.get(cuts, below) == key, F.get(F.array(*[F.lit(x) for x in self.times]), below)).otherwise(1)
+        more = F.pmod(spread, times).cast("int") if spread is not None else times - 1 if top else F.lit(0)
+        return F.when(key.isNull(), -1).otherwise(first + more)
+
+
+def _row_hash(rows: DataFrame) -> Column:
+    """A hash that tells rows of one key apart as far as their columns do; the same however often they are read."""
+    return F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t and "variant" not in t])
+
+
+def positions(rows: DataFrame, key: str = "sort_key", descending: bool = False, name: str = "pos", ranges: int | None = None) -> DataFrame:
     """``rows`` with their 1-based place in key order, without one task that sorts everything.
 
     Places within a range of keys come from a window over that range; how many rows lie
-    below it comes from the ranges' counts, of which there are at most ``RANGES`` + 1.
+    below it comes from the ranges' counts, of which there are at most ``RANGES`` + 1.  Rows of
+    one key have places next to each other, in any order; null keys come before all others
+    (after them when descending).
     """
-    rows = rows.withColumn("__range", ranges_of(rows, key))
+    dealt = Ranges(rows, key, ranges)
+    rows = rows.withColumn("__range", dealt.of(F.col(key), _row_hash(rows)))
     counts = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     rise = F.col("__range").desc() if descending else F.col("__range").asc()
     before = F.coalesce(F.sum("__n").over(Window.orderBy(rise).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -122,45 +169,57 @@ def positions(rows: DataFrame, key: str = "sort_key", descending: bool = False,
     return placed.withColumn(name, F.col("__before") + F.col("__in")).drop("__range", "__in", "__before")
 
 
-def neighbours(rows: DataFrame, key: str = "sort_key") -> DataFrame:
+def neighbours(rows: DataFrame, key: str = "sort_key", ranges: int | None = None) -> DataFrame:
     """``rows`` with ``prev_key`` and ``next_key``, the keys a cursor would step to.
 
     Ranges of keys are windowed one by one; at their edges the nearest other range's
-    smallest or largest key is taken.
+    smallest or largest key is taken.  A row without a key has no neighbours and is none.
     """
-    rows = rows.withColumn("__range", ranges_of(rows, key))
-    ends = rows.groupBy("__range").agg(F.min(key).alias("__min"), F.max(key).alias("__max"))
+    dealt = Ranges(rows, key, ranges)
+    rows = rows.withColumn("__range", dealt.of(F.col(key), _row_hash(rows)))
+    there = rows.where(F.col("__range") >= 0)
+    ends = there.groupBy("__range").agg(F.min(key).alias("__min"), F.max(key).alias("__max"))
     beside = Window.orderBy("__range")
     ends = ends.select("__range", F.lag("__max").over(beside).alias("__below"), F.lead("__min").over(beside).alias("__above"))
     order = Window.partitionBy("__range").orderBy(key)
-    found = rows.withColumns({"__p": F.lag(key).over(order), "__n": F.lead(key).over(order)}).join(F.broadcast(ends), "__range")
-    return found.withColumns({"prev_key": F.coalesce("__p", "__below"), "next_key": F.coalesce("__n", "__above")}).drop(
-        "__range", "__p", "__n", "__below", "__above"
-    )
+    # broadcast: at most RANGES rows
+    found = there.withColumns({"__p": F.lag(key).over(order), "__n": F.lead(key).over(order)}).join(F.broadcast(ends), "__range")
+    found = found.withColumns({"prev_key": F.coalesce("__p", "__below"), "next_key": F.coalesce("__n", "__above")})
+    none = F.lit(None).cast(dealt.kind)
+    absent = rows.where(F.col("__range") < 0).withColumns({"prev_key": none, "next_key": none})
+    return found.drop("__p", "__n", "__below", "__above").unionByName(absent).drop("__range")
 
 
-def seek_nearest(rows: DataFrame, probes: DataFrame, cmp: str = LE, key: str = "sort_key", probe: str = "probe") -> DataFrame:
-    """Every probe with ``nearest``, the closest key that satisfies ``key cmp probe``.
+def seek_nearest(rows: DataFrame, probes: DataFrame, cmp: str = LE, key: str = "sort_key", probe: str = "probe", ranges: int | None = None) -> DataFrame:
+    """Every probe with ``nearest``, the closest key that satisfies ``key cmp probe``; null for a null probe.
 
     Keys and probes are merged in order within ranges of keys; a probe that finds nothing in
-    its range takes the nearest range's extreme key.
+    its range takes the nearest range's extreme key.  Keys are made unique first, and a probe
+    asked very often is spread over several ranges.
     """
-    keys = rows.select(F.col(key).alias("__x"), F.col(key).alias("__key"), F.lit(None).cast(probes.schema[probe].dataType).alias(probe))
-    asks = probes.select(F.col(probe).alias("__x"), F.lit(None).cast(rows.schema[key].dataType).alias("__key"), F.col(probe))
-    both = keys.unionByName(asks)
-    both = both.withColumn("__range", ranges_of(both, "__x"))
+    kind = rows.schema[key].dataType
     down = cmp in (LT, LE)
-    ends = both.groupBy("__range").agg((F.max if down else F.min)("__key").alias("__end"))
+    keys = rows.select(F.col(key).alias("__x")).where(F.col(key).isNotNull()).distinct().withColumns({"__key": F.col("__x"), "__ask": F.lit(False)})
+    asks = probes.select(F.col(probe).cast(kind).alias("__x"), F.lit(None).cast(kind).alias("__key"), F.lit(True).alias("__ask"), F.col(probe))
+    both = keys.withColumn(probe, F.lit(None).cast(probes.schema[probe].dataType)).unionByName(asks)
+    dealt = Ranges(both.select("__x"), "__x", ranges)
+    # a key stands before the probes that equal it, in the direction of the search, if it counts for them
+    top = (not down) if cmp in (LE, GE) else down
+    chosen = F.when(F.col("__ask"), dealt.of(F.col("__x"), F.monotonically_increasing_id())).otherwise(dealt.of(F.col("__x"), top=top))
+    both = both.withColumn("__range", chosen)
+    keys = keys.withColumn("__range", dealt.of(F.col("__x"), top=top))
+    ends = keys.groupBy("__range").agg((F.max if down else F.min)("__key").alias("__end"))
+    # every range, also those without keys, so that each finds the nearest other one's end
+    ends = both.sparkSession.range(-1, RANGES + 1).select(F.col("id").cast("int").alias("__range")).join(F.broadcast(ends), "__range", "left")
     rise = F.col("__range").asc() if down else F.col("__range").desc()
     beyond = F.last("__end", True).over(Window.orderBy(rise).rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select("__range", beyond.alias("__beyond"))
-    # ties: a key equal to the probe counts for <= and >=, not for < and >
-    is_probe = F.col("__key").isNull().cast("int")
-    tie = is_probe.asc() if cmp in (LE, GE) else is_probe.desc()
+    tie = F.col("__ask").asc() if cmp in (LE, GE) else F.col("__ask").desc()
     order = Window.partitionBy("__range").orderBy(F.col("__x").asc() if down else F.col("__x").desc(), tie)
     seen = F.last("__key", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = both.withColumn("__seen", seen).where(F.col("__key").isNull()).join(F.broadcast(ends), "__range")
-    return placed.select(probe, F.coalesce("__seen", "__beyond").alias("nearest"))
+    # broadcast: RANGES + 2 rows
+    placed = both.withColumn("__seen", seen).where("__ask").join(F.broadcast(ends), "__range")
+    return placed.select(probe, F.when(F.col(probe).isNotNull(), F.coalesce("__seen", "__beyond")).alias("nearest"))
 
 
 def count_in_range(messages: DataFrame, bounds: Bounds, key_bytes: Column, value_bytes: Column, key: str = "sort_key") -> DataFrame:

@@ -91,12 +91,12 @@ def merge_update_counter_int8(spark, sf_dir):
 
 
 @query(
-    f"""WITH {M}, f AS (SELECT * FROM m WHERE op = 'UPDATE' AND k % 3 = 0)
+    f"""WITH {M}, f AS (SELECT * FROM m WHERE op = 'UPDATE')
     SELECT k, CAST(sum(value) AS BIGINT) AS value FROM f GROUP BY k"""
 )
 def merge_final_orphan_updates(spark, sf_dir):
     """Updates with nothing below them."""
-    messages = event_messages(spark, sf_dir).where((F.col("op") == UPDATE) & (F.col("k") % 3 == 0))
+    messages = event_messages(spark, sf_dir).where(F.col("op") == UPDATE)
     return resolve(messages, K, SUM).select("k", "value")
 
 
@@ -302,12 +302,13 @@ IP = "concat_ws('.', o_orderkey % 224, o_orderkey // 7 % 256, o_orderkey % 251,
 IP_ORDER = "((o_orderkey % 224) * 256 + o_orderkey // 7 % 256) * 65536 + (o_orderkey % 251) * 256 + o_orderkey % 13"
 
 
-@query(f"SELECT {IP} AS ip, CAST({IP_ORDER} AS BIGINT) AS sort_key, row_number() OVER (ORDER BY {IP_ORDER}, o_orderkey) AS pos FROM orders WHERE o_orderkey <= 3000")
+@query(f"SELECT {IP} AS ip, CAST({IP_ORDER} AS BIGINT) AS sort_key, row_number() OVER (ORDER BY {IP_ORDER}, o_orderkey) AS pos FROM orders")
 def custom_order_ipv4_like(spark, sf_dir):
     k = F.col("o_orderkey")
     ip = F.concat_ws(".", k % 224, F.floor(k / 7) % 256, k % 251, k % 13)
-    rows = KeySpec.ipv4("ip").with_sort_key(driver_table(spark, sf_dir, "orders").where(k <= 3000).select("o_orderkey", ip.alias("ip")))
-    rows = rows.withColumn("order", F.col("sort_key") * (1 << 20) + F.col("o_orderkey"))
+    rows = KeySpec.ipv4("ip").with_sort_key(driver_table(spark, sf_dir, "orders").select("o_orderkey", ip.alias("ip")))
+    # quads repeat: the order key settles their places
+    rows = rows.withColumn("order", F.struct("sort_key", "o_orderkey"))
     return reads.positions(rows, "order").select("ip", "sort_key", "pos")
 
 
@@ -317,6 +318,51 @@ def composite_key_scan(spark, sf_dir):
     return reads.scan(rows, Bounds((40, 0), (60, 500))).select("o_custkey", "o_orderkey")
 
 
+PAIRS = "SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n FROM lineitem GROUP BY ALL"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines under a composite key, one row each."""
+    rows = driver_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return KeySpec.composite("a", "b").with_sort_key(rows)
+
+
+@query(f"WITH p AS ({PAIRS}) SELECT a, b, row_number() OVER (ORDER BY a, b) AS pos FROM p")
+def composite_key_positions(spark, sf_dir):
+    return reads.positions(_pairs(spark, sf_dir)).select("a", "b", "pos")
+
+
+@query(
+    f"""WITH p AS ({PAIRS}) SELECT a, b, lag(a) OVER w AS prev_a, lag(b) OVER w AS prev_b, lead(a) OVER w AS next_a, lead(b) OVER w AS next_b
+    FROM p WINDOW w AS (ORDER BY a, b)"""
+)
+def composite_key_neighbours(spark, sf_dir):
+    found = reads.neighbours(_pairs(spark, sf_dir))
+    parts = [F.col(f"{side}_key._{i}").alias(f"{side}_{c}") for side in ("prev", "next") for i, c in enumerate("ab")]
+    return found.select("a", "b", *parts)
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), p AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS probe FROM lineitem)
+    SELECT probe, day AS nearest FROM p ASOF LEFT JOIN d ON probe >= day"""
+)
+def date_key_nearest(spark, sf_dir):
+    """The last order date on or before each ship date."""
+    days = driver_table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("sort_key"))
+    probes = driver_table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("probe")).distinct()
+    return reads.seek_nearest(days, probes, LE)
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)
+    SELECT day AS sort_key, row_number() OVER w AS pos, lag(day) OVER w AS prev_key, lead(day) OVER w AS next_key FROM d WINDOW w AS (ORDER BY day)"""
+)
+def date_key_walk(spark, sf_dir):
+    """Every order date with its place and neighbours."""
+    days = driver_table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("sort_key")).distinct()
+    return reads.positions(reads.neighbours(days)).select("sort_key", "pos", "prev_key", "next_key")
+
+
 @query("SELECT c_name, hex(encode(c_name)) AS key_hex FROM customer")
 def key_hex(spark, sf_dir):
     return driver_table(spark, sf_dir, "customer").select("c_name", to_hex("c_name").alias("key_hex"))
