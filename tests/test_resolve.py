@@ -160,3 +160,64 @@ def test_resolution_is_one_exchange(spark, tmp_path, rule):
     assert plan.count("Exchange hashpartitioning") == 1 and "LessThan(k,20)" in plan and "unused" not in plan
     if rule.pair is None:
         assert "partial_max_by" in plan
+
+
+@pytest.mark.parametrize("rule", ["lww", "sum", "counter", "fold", "append"])
+def test_old_values_of_a_hot_key(spark, rule):
+    """A key with most messages, over many stretches, under every kind of rule."""
+    from tidemark.operators import resolve as module
+
+    draw = random.Random(11)
+    text = rule == "append"
+    merge = {
+        "lww": MergeSpec.last_write_wins(), "sum": MergeSpec.sum(), "counter": MergeSpec.counter_int8(),
+        "fold": MergeSpec.custom("plus", lambda old, new: old + new), "append": MergeSpec.append("-"),
+    }[rule]
+    rows = []
+    for seq in range(0, 3000, 2):
+        k = 7 if seq % 6 else draw.randint(0, 20)
+        op = draw.choices([INSERT, DELETE, UPDATE], [2, 1, 0 if rule == "lww" else 30])[0]
+        rows.append((k, seq, op, None if op == DELETE else chr(97 + seq % 26) if text else draw.randint(-90, 90)))
+    want, state = {}, {}
+    for k, seq, op, value in rows:
+        s = state.get(k)  # (op, value) of the state; UPDATE for updates over nothing
+        seen = s
+        if s and s[0] == UPDATE:
+            seen = (INSERT, s[1])
+            if rule == "counter":
+                seen = (DELETE, None) if s[1] == 0 else seen
+        want[seq] = (bool(seen and seen[0] == INSERT), seen[1] if seen and seen[0] == INSERT else None)
+        if op != UPDATE:
+            state[k] = (op, value)
+            continue
+        below = s[1] if s and s[0] in (INSERT, UPDATE) else None
+        merged = value if below is None else f"{below}-{value}" if text else below + value
+        if rule == "counter":
+            merged = wrap(merged)
+        final = s is not None and s[0] != UPDATE
+        state[k] = ((DELETE, None) if rule == "counter" and final and merged == 0 else (INSERT if final else UPDATE, merged))
+    kind = "string" if text else "long"
+    df = spark.createDataFrame(rows, f"k long, seq long, op string, value {kind}").repartition(3)
+    wide, folded = module.STRETCH, module.FOLDED
+    try:
+        for module.STRETCH, module.FOLDED in ((64, 8), (1 << 16, 256)):
+            got = {r["seq"]: (r["old_found"], r["old_value"]) for r in old_values(df, K, merge).collect()}
+            assert got == want
+    finally:
+        module.STRETCH, module.FOLDED = wide, folded
+
+
+def test_no_window_holds_a_hot_key(spark):
+    df = spark.createDataFrame([(1, 1, INSERT, 2), (1, 2, UPDATE, 3), (2, 1, UPDATE, 1)], SCHEMA)
+    plan = resolve(df, K, MergeSpec.sum(), hot=True)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "partial_sum" in plan
+    assert {(r["k"], r["value"]) for r in resolve(df, K, MergeSpec.sum(), hot=True).collect()} == {(1, 5), (2, 1)}
+
+
+@pytest.mark.parametrize("rule,zero", RULES, ids=lambda x: getattr(x, "name", str(x)))
+@pytest.mark.parametrize("mode", [FULL, INTERMEDIATE])
+def test_hot_and_plain_resolution_agree(spark, rule, zero, mode):
+    rows = [*histories(200, 17), *[(7, 100_000 + i, UPDATE if i % 97 else INSERT, i % 11 - 5) for i in range(900)], (None, 1, INSERT, 4), (None, 2, UPDATE, 3)]
+    messages = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    plain = {tuple(r) for r in resolve(messages, K, rule, mode).collect()}
+    assert {tuple(r) for r in resolve(messages, K, rule, mode, hot=True).collect()} == plain and (None in {r[0] for r in plain})

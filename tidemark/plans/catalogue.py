@@ -72,6 +72,12 @@ def merge_update_sum_segmented(spark, sf_dir):
     return resolve(event_messages(spark, sf_dir), K, SUM, segment=F.floor(F.col("seq") / 2048)).select("k", "value")
 
 
+@query(SQL["merge_update_sum"])
+def merge_update_sum_hot_keys(spark, sf_dir):
+    """The same with updates summed in parts before a key's parts meet."""
+    return resolve(event_messages(spark, sf_dir), K, SUM, hot=True).select("k", "value")
+
+
 @query(SQL["merge_update_sum"])
 def merge_update_custom_fold(spark, sf_dir):
     """The same with a rule that only knows how to merge two values."""
@@ -249,6 +255,13 @@ def write_old_value(spark, sf_dir):
     return old_values(event_messages(spark, sf_dir), K, SUM).select("k", "seq", "old_found", "old_value")
 
 
+@query(SQL["write_old_value"])
+def write_old_value_custom_fold(spark, sf_dir):
+    """The same with a rule that only knows how to merge two values."""
+    rule = MergeSpec.custom("plus", lambda old, new: old + new)
+    return old_values(event_messages(spark, sf_dir), K, rule).select("k", "seq", "old_found", "old_value")
+
+
 @query(f"WITH {BEFORE} SELECT k, seq, old_found FROM d")
 def write_old_exists(spark, sf_dir):
     return old_values(event_messages(spark, sf_dir), K, SUM).select("k", "seq", "old_found")
