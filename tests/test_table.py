@@ -6,7 +6,7 @@ from tidemark.functions.columns import histogram_bucket, parse_size, readable_si
 from tidemark.functions.keys import KeySpec
 from tidemark.functions.merge import MergeSpec
 from tidemark.operators.scan import GE, LE, Bounds
-from tidemark.sources.manifest import Conflict, save
+from tidemark.sources.manifest import Conflict, Files, load, save
 from tidemark.sources.table import Notification, Options, Table
 from tidemark.streaming.ingest import ingest
 
@@ -183,3 +183,144 @@ def test_filters_have_no_false_negatives(spark, tmp_path):
     assert "EqualTo(sort_key,1000)" in plan or "GreaterThanOrEqual(sort_key,1000)" in plan
     assert t.lookup(1001).isEmpty() and t.lookup(1000).count() == 1
     t.close()
+
+
+def test_appends_during_a_compaction_stay(spark, tmp_path, monkeypatch):
+    """Another writer appends while a compaction runs: the compaction commits on top of it, and nothing is orphaned."""
+    path = str(tmp_path / "t")
+    t = Table.create(spark, path, K, "long", MergeSpec.sum(), "k long")
+    for i in range(3):
+        t.update(spark.createDataFrame([(k, 1) for k in range(10)], "k long, value long"))
+    other = Table.open(spark, path, K, MergeSpec.sum())
+    write = Table._write
+
+    def slow(self, rows, batch, level):
+        run = write(self, rows, batch, level)
+        if level:
+            other.update(spark.createDataFrame([(3, 100), (77, 5)], "k long, value long"))
+        return run
+
+    monkeypatch.setattr(Table, "_write", slow)
+    t.optimize(2, 6)
+    monkeypatch.undo()
+    want = dict.fromkeys(range(10), 3) | {3: 103, 77: 5}
+    assert state(t) == state(other) == want
+    assert {n for n, _ in t._files.list("runs")} == {r.id for r in t.manifest().runs}
+    # two appends that began from the same state
+    stale = t._writable()
+    other.update(spark.createDataFrame([(1, 1)], "k long, value long"))
+    monkeypatch.setattr(Table, "_writable", lambda self, first=[stale]: first.pop() if first else load(self._files).copy())
+    t.update(spark.createDataFrame([(1, 1)], "k long, value long"))
+    monkeypatch.undo()
+    assert state(t)[1] == 5 and len({r.batch for r in t.manifest().runs if r.level == 0}) == len([r for r in t.manifest().runs if r.level == 0])
+    t.close()
+
+
+@pytest.mark.parametrize("kind", ["date", "decimal(10,2)", "timestamp", "binary"])
+def test_ranges_of_any_key_type(spark, tmp_path, kind):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    make = {"date": lambda i: date(2024, 1, 1 + i), "decimal(10,2)": lambda i: Decimal(i) / 4, "timestamp": lambda i: datetime(2024, 1, 1 + i, 5), "binary": lambda i: bytes([i])}[kind]
+    t = Table.create(spark, str(tmp_path / "t"), K, "long", MergeSpec.sum(), f"k {kind}")
+    for _ in range(2):
+        t.update(spark.createDataFrame([(make(i), i) for i in range(20)], f"k {kind}, value long"))
+    t.optimize(make(3), make(9))
+    again = Table.open(spark, t.path, K, MergeSpec.sum())
+    plain = lambda v: bytes(v) if isinstance(v, bytearray) else v
+    assert {plain(r["k"]): r["value"] for r in again.rows().collect()} == {make(i): 2 * i for i in range(20)}
+    assert again.rows(Bounds(make(3), make(9))).count() == 6 and again.tuple_bound(Bounds(make(19), None)) == 40
+    assert again.tuple_bound(Bounds(None, make(2))) == 40 and again.count_in_range(Bounds(make(3), make(9))).first()["n"] == 6
+    t.close()
+
+
+def test_maintenance_takes_the_fullest_range_first(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), K, "long", MergeSpec.sum(), "k long", Options(fanout=2, part_rows=100))
+    t.update(spark.createDataFrame([(k, 1) for k in range(100)], "k long, value long"))
+    t.update(spark.createDataFrame([(k, 1) for k in range(70, 100)], "k long, value long"))
+    t.update(spark.createDataFrame([(k, 1) for k in range(80, 100)], "k long, value long"))
+    want = {k: 1 + (k >= 70) + (k >= 80) for k in range(100)}
+    steps = 0
+    while t.maintain():
+        steps += 1
+        assert state(t) == want and t.verify().isEmpty() and steps < 10
+    runs = t.manifest().runs
+    assert steps > 1 and len(runs) <= 2 and all(r.level for r in runs)
+    t.close()
+
+
+def test_batches_and_delta_size(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), K, "long", MergeSpec.sum(), "k long", Options(delta_rows=15, precombine=True))
+    with pytest.raises(ValueError, match="repeats"):
+        Table.create(spark, str(tmp_path / "u"), K, "long", MergeSpec.sum(), "k long").update(spark.createDataFrame([(1, 1), (1, 2)], "k long, value long"))
+    rows = [(k, i, "UPDATE", 1) for k in range(10) for i in range(4)]
+    batch = spark.createDataFrame(rows, "k long, seq long, op string, value long")
+    t.append(batch)
+    assert t.manifest().runs[0].rows == 10  # one message a key
+    t.append(batch)
+    assert [r.level for r in t.manifest().runs] == [1] and state(t) == dict.fromkeys(range(10), 8)
+    assert t.get_async(4).result(60) == 8
+    seen = {r["what"]: r["n"] for r in t.latency_histogram().groupBy("what").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert seen == {"append": 2, "lookup": 1, "compaction": 1} and '"version": 3' in t.dump()
+    t.reset_stats()
+    assert not t.latencies
+    assert {r["found"] for r in t.might_exist_all(spark.createDataFrame([(3,), (99,)], "k long")).collect()} == {True, False}
+    assert t.counts_by_run(Bounds(2, 5)).first()["n"] == 3
+    t.close()
+
+
+def test_a_place_that_holds_something_else_is_left_alone(spark, tmp_path):
+    (tmp_path / "mine").mkdir()
+    (tmp_path / "mine" / "letter.txt").write_text("keep me")
+    with pytest.raises(ValueError, match="no table"):
+        Table.create(spark, str(tmp_path / "mine"), K, "long")
+    assert (tmp_path / "mine" / "letter.txt").read_text() == "keep me"
+
+
+def test_commits_put_if_absent(spark, tmp_path):
+    taken = set()
+
+    def put(path, text):
+        name = path.removeprefix("file:")
+        if name in taken:
+            return False
+        taken.add(name)
+        with open(name, "w") as f:
+            f.write(text)
+        return True
+
+    (tmp_path / "t" / "_manifest").mkdir(parents=True)
+    files = Files(spark, str(tmp_path / "t"), put)
+    files.commit("_manifest/a", "1")
+    with pytest.raises(Conflict):
+        files.commit("_manifest/a", "2")
+    plain = Files(spark, str(tmp_path / "t"))
+    plain.commit("_manifest/b", "1")
+    with pytest.raises(Conflict):
+        plain.commit("_manifest/b", "2")
+    assert plain.read("_manifest/b") == "1" and [n for n, _ in plain.list("_manifest") if "tmp" in n] == []
+
+
+def test_verification_finds_disorder(spark, tmp_path):
+    t = Table.create(spark, str(tmp_path / "t"), K, "long", key_schema="k long")
+    t.insert(spark.createDataFrame([(k, k) for k in range(50)], "k long, value long"))
+    assert t.verify().isEmpty()
+    run = t.manifest().runs[0].id
+    rows = spark.read.parquet(f"{t.path}/runs/{run}")
+    mixed = spark.createDataFrame(rows.orderBy("k").collect()[::-1], rows.schema)
+    mixed.coalesce(1).write.mode("append").parquet(f"{t.path}/runs/{run}")
+    assert {r["problem"] for r in t.verify().collect()} == {"repeated message", "out of order"}
+    t.close()
+
+
+def test_finish_and_printers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rule = MergeSpec.custom("longest", lambda old, new: F.greatest(old, new), final=lambda v: v + 1000, printer=lambda v: F.concat(F.lit("#"), v.cast("string")))
+    key = KeySpec.custom("upper", ("k",), F.upper, lambda k: F.concat(F.lit("<"), k, F.lit(">")))
+    t = Table.create(spark, str(tmp_path / "t"), key, "long", rule)
+    t.insert(spark.createDataFrame([("a", 5)], "k string, value long"))
+    t.update(spark.createDataFrame([("A", 7), ("b", 3)], "k string, value long"))
+    assert state(t) == {"A": 7, "b": 1003}
+    assert [tuple(r)[1:] for r in t.show_history("a").collect()] == [("UPDATE", "<A>", "#7"), ("INSERT", "<a>", "#5")]
+    t.close()

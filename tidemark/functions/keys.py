@@ -23,6 +23,7 @@ class KeySpec:
     name: str
     columns: tuple[str, ...]
     order: Callable[..., Column]
+    printer: Callable[..., Column] | None = None
 
     @staticmethod
     def lex(column: str) -> KeySpec:
@@ -46,9 +47,14 @@ class KeySpec:
         return KeySpec(f"ipv4({column})", (column,), value)
 
     @staticmethod
-    def custom(name: str, columns: tuple[str, ...], order: Callable[..., Column]) -> KeySpec:
+    def custom(name: str, columns: tuple[str, ...], order: Callable[..., Column], printer: Callable[..., Column] | None = None) -> KeySpec:
         """Any expression of the columns whose order is the keys' order."""
-        return KeySpec(name, columns, order)
+        return KeySpec(name, columns, order, printer)
+
+    def to_string(self) -> Column:
+        """A key for people: by the spec's printer, or its columns with commas between."""
+        columns = [F.col(c) for c in self.columns]
+        return F.concat_ws(",", *[c.cast("string") for c in columns]) if self.printer is None else self.printer(*columns)
 
     def sort_key(self) -> Column:
         return self.order(*[F.col(c) for c in self.columns])

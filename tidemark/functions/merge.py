@@ -25,8 +25,10 @@ class MergeSpec:
 
     ``total`` aggregates the updates of a key in one go, where their order doesn't matter;
     ``pair`` combines an older and a newer value.  ``zero_deletes``: an insert or a finished
-    update whose value is 0 after merging is a deletion.  Without ``pair``, updates are not
-    allowed and the last write wins.
+    update whose value is 0 after merging is a deletion.  ``final`` turns the updates of a key
+    with nothing below them into its value.  ``total`` must also combine its own results.
+    ``printer`` shows a value to people.  Without ``pair``, updates are not allowed and the last
+    write wins.
     """
 
     name: str
@@ -34,6 +36,8 @@ class MergeSpec:
     total: Callable[[Column], Column] | None = None
     shape: Callable[[Column], Column] = lambda c: c
     zero_deletes: bool = False
+    final: Callable[[Column], Column] | None = None
+    printer: Callable[[Column], Column] | None = None
 
     @staticmethod
     def last_write_wins() -> MergeSpec:
@@ -62,9 +66,22 @@ class MergeSpec:
         return MergeSpec(f"append({separator!r})", lambda old, new: F.concat(old, F.lit(separator), new))
 
     @staticmethod
-    def custom(name: str, pair: Callable[[Column, Column], Column], zero_deletes: bool = False) -> MergeSpec:
+    def custom(
+        name: str, pair: Callable[[Column, Column], Column], zero_deletes: bool = False,
+        final: Callable[[Column], Column] | None = None, printer: Callable[[Column], Column] | None = None,
+    ) -> MergeSpec:
         """Any associative expression of an older and a newer value."""
-        return MergeSpec(name, pair, None, lambda c: c, zero_deletes)
+        return MergeSpec(name, pair, None, lambda c: c, zero_deletes, final, printer)
+
+    def alone(self, updates: Column) -> Column:
+        """The value of updates with nothing below them."""
+        value = self.shape(updates)
+        return value if self.final is None else self.final(value)
+
+    def to_string(self, value: str | Column = "value") -> Column:
+        """A value for people: by the rule's printer, or as Spark casts it."""
+        value = F.col(value) if isinstance(value, str) else value
+        return value.cast("string") if self.printer is None else self.printer(value)
 
     def insert_or_delete(self, value: Column, merged: Column) -> Column:
         """The op of a value: DELETE if this rule makes a merged 0 disappear, else INSERT."""

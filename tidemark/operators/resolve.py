@@ -45,7 +45,7 @@ def resolve(messages: DataFrame, key: KeySpec, merge: MergeSpec, mode: str = FUL
 def finish(combined: DataFrame, merge: MergeSpec) -> DataFrame:
     """Turn leftover updates into values, then drop deletions."""
     if merge.pair is not None:
-        value = merge.shape(F.col("value"))
+        value = merge.alone(F.col("value"))
         left = F.col("op") == UPDATE
         combined = combined.withColumn("op", F.when(left, merge.insert_or_delete(value, F.lit(True))).otherwise(F.col("op")))
         combined = combined.withColumn("value", F.when(left, value).otherwise(F.col("value")))
@@ -60,6 +60,11 @@ def _combine(rows: DataFrame, key: KeySpec, merge: MergeSpec, by: list[str], hot
     return combine(rows, key, merge, by).select(*columns)
 
 
+def _above(merge: MergeSpec, op: Column, below: Column, updates: Column) -> Column:
+    """The value of updates above an insert or a delete, or of updates that may still meet something below."""
+    return F.when(op == INSERT, merge.shape(merge.pair(below, updates))).when(op.isNull(), merge.shape(updates)).otherwise(merge.alone(updates))
+
+
 def _latest(rows: DataFrame, key: KeySpec, by: list[str]) -> DataFrame:
     """The newest message: partial aggregation, one exchange.  Updates are refused."""
     message = F.struct(*key.columns, "op", "value")
@@ -84,7 +89,7 @@ def _summed(rows: DataFrame, key: KeySpec, merge: MergeSpec, by: list[str]) -> D
         F.max("seq").alias("seq"),
     )
     below, op, some = F.col("__v.value"), F.col("__op"), F.col("__n") > 0
-    merged = merge.shape(F.when(op == INSERT, merge.pair(below, F.col("__u"))).otherwise(F.col("__u")))
+    merged = _above(merge, op, below, F.col("__u"))
     value = F.when(some, merged).when(op == INSERT, below)
     new_op = F.when(op.isNull(), UPDATE).when(some, merge.insert_or_delete(merged, F.lit(True))).otherwise(op)
     keys = [F.col(f"__k.{c}").alias(c) for c in key.columns if c not in by]
@@ -127,7 +132,7 @@ def _summed_in_parts(rows: DataFrame, key: KeySpec, merge: MergeSpec, by: list[s
     )
     found = _equal(definite, whole, by, "full_outer")
     below, op, some = F.col("__d.value"), F.col("__d.op"), F.col("__n") > 0
-    merged = merge.shape(F.when(op == INSERT, merge.pair(below, F.col("__u"))).otherwise(F.col("__u")))
+    merged = _above(merge, op, below, F.col("__u"))
     value = F.when(some, merged).when(op == INSERT, below)
     new_op = F.when(op.isNull(), UPDATE).when(some, merge.insert_or_delete(merged, F.lit(True))).otherwise(op)
     newest = F.coalesce("__uk", "__dk")
@@ -145,7 +150,7 @@ def _step(merge: MergeSpec, kind: T.DataType):
 
     def step(old: Column, new: Column) -> Column:
         both = merge.shape(merge.pair(old["value"], new["value"]))
-        alone = merge.shape(new["value"])
+        alone = merge.alone(new["value"])
         op = (
             F.when(new["op"] != UPDATE, new["op"]).when(old["op"].isNull(), F.lit(UPDATE))
             .when(old["op"] == UPDATE, F.lit(UPDATE))
@@ -212,8 +217,8 @@ def old_values(messages: DataFrame, key: KeySpec, merge: MergeSpec, segment: Col
         combined = _combine(rows, key, merge, by).select("sort_key", F.col("__segment").alias("seq"), "op", "value")
         carried = _before_running(combined.withColumn("__own", F.lit(True)), merge, ["sort_key"])
     found = _with_carried(rows, carried, merge, by, kind)
+    found = finish_state(found, merge)
     there = F.coalesce(F.col("__before_op") == INSERT, F.lit(False))
-    found = finish_state(found, merge) if folds else found
     found = found.withColumns({"old_found": there, "old_value": F.when(there, F.col("__before"))})
     return found.select(*messages.columns, "old_found", "old_value")
 
@@ -234,7 +239,7 @@ def _with_carried(rows: DataFrame, carried: DataFrame, merge: MergeSpec, by: lis
 def finish_state(rows: DataFrame, merge: MergeSpec) -> DataFrame:
     """States that are still updates as a read would finish them."""
     left = F.col("__before_op") == UPDATE
-    value = merge.shape(F.col("__before"))
+    value = merge.alone(F.col("__before"))
     rows = rows.withColumn("__before_op", F.when(left, merge.insert_or_delete(value, F.lit(True))).otherwise(F.col("__before_op")))
     return rows.withColumn("__before", F.when(left, value).otherwise(F.col("__before")))
 
@@ -257,9 +262,10 @@ def _before_folding(rows: DataFrame, merge: MergeSpec, kind: T.DataType, levels:
 
 
 def _after(merge: MergeSpec, op: Column, below: Column, updates: Column, some: Column) -> tuple[Column, Column]:
-    """Op and value of a state: a definite message (or none) and the total of the updates above it."""
-    merged = merge.shape(F.when(op == INSERT, merge.pair(below, updates)).otherwise(updates))
-    return F.when(some, merge.insert_or_delete(merged, F.lit(True))).otherwise(op), F.when(some, merged).otherwise(below)
+    """Op and value of a state: its first message's op and value, and the total of the updates from there on."""
+    merged, alone = _above(merge, op, below, updates), op == UPDATE
+    after_op = F.when(alone, UPDATE).when(some, merge.insert_or_delete(merged, F.lit(True))).otherwise(op)
+    return after_op, F.when(alone, merge.shape(updates)).when(some, merged).otherwise(below)
 
 
 def _before_running(rows: DataFrame, merge: MergeSpec, by: list[str]) -> DataFrame:
