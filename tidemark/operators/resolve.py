@@ -47,8 +47,10 @@ def finish(combined: DataFrame, merge: MergeSpec) -> DataFrame:
     if merge.pair is not None:
         value = merge.alone(F.col("value"))
         left = F.col("op") == UPDATE
-        combined = combined.withColumn("op", F.when(left, merge.insert_or_delete(value, F.lit(True))).otherwise(F.col("op")))
-        combined = combined.withColumn("value", F.when(left, value).otherwise(F.col("value")))
+        combined = combined.withColumns({
+            "op": F.when(left, merge.insert_or_delete(value, F.lit(True))).otherwise(F.col("op")),
+            "value": F.when(left, value).otherwise(F.col("value")),
+        })
     return combined.where(F.col("op") != DELETE)
 
 
@@ -240,8 +242,10 @@ def finish_state(rows: DataFrame, merge: MergeSpec) -> DataFrame:
     """States that are still updates as a read would finish them."""
     left = F.col("__before_op") == UPDATE
     value = merge.alone(F.col("__before"))
-    rows = rows.withColumn("__before_op", F.when(left, merge.insert_or_delete(value, F.lit(True))).otherwise(F.col("__before_op")))
-    return rows.withColumn("__before", F.when(left, value).otherwise(F.col("__before")))
+    return rows.withColumns({
+        "__before_op": F.when(left, merge.insert_or_delete(value, F.lit(True))).otherwise(F.col("__before_op")),
+        "__before": F.when(left, value).otherwise(F.col("__before")),
+    })
 
 
 def _states(rows: DataFrame, merge: MergeSpec, by: list[str], kind: T.DataType) -> DataFrame:
