@@ -588,3 +588,20 @@ def test_large_buckets_of_several_classes_equal_brute_force(spark):
     want = partition(rows)
     for block in (8, 64):
         assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs, block=block).collect()} == want
+
+
+def test_neighbours_that_repeat_ids(spark):
+    """Rows that repeat an id or a vector: each row has a rank, and a repeated id hides no other."""
+    draw = np.random.default_rng(5)
+    near = draw.normal(size=8).astype("f4").tolist()
+    rows = [(0, near)] * 13 + [(7, near), (8, near), (8, near)]
+    rows += [(100 + i, (np.array(near) + draw.normal(size=8)).astype("f4").tolist()) for i in range(60)] + [(100, rows[-1][1])] * 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("id").isin(0, 7, 110), 10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((round(r["score"], 6), r["vec_id"]))
+    for q in (0, 7, 110):
+        own = next(np.array(v, dtype=float) for i, v in rows if i == q)
+        want = sorted((round(float(np.sqrt(((np.array(v, dtype=float) - own) ** 2).sum())), 6), i) for i, v in rows if i != q)[:10]
+        assert got[q] == want
+    assert [i for _, i in got[0]][:3] == [7, 8, 8] and {i for _, i in got[7]} == {0}

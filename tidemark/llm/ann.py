@@ -3,7 +3,8 @@
 Index.  In each of ``tables`` tables a vector's bucket is the floor of ``depth`` random
 projections over a width; the width is a multiple of the vectors' root mean square distance
 from their mean, counted over all of them.  Identical vectors are one entry that carries
-its smallest ids, as many as an answer can need.
+its smallest different ids, as many as an answer can need, each with the number of its rows.
+Vectors travel as they are stored; distances are computed in double precision.
 
 Search.  A query visits, in every table, its own bucket and then perturbed ones in order of
 estimated success: a perturbation moves some projections to the neighbouring interval, and
@@ -11,14 +12,16 @@ its cost is the sum of squared distances to the boundaries crossed.  Rows and pr
 cell, a table and a part of its buckets; cells that hold more than ``cell`` rows on either
 side are dealt out again over blocks of both, so a hot bucket never meets in one task.  In a
 cell all candidates of a query are ranked at once by exact distance in double precision and
-only its best go on; the tables' lists are then merged.
+only its best go on; as distances are exact, merging these lists is merging all candidates.
 
 Queries that found fewer than they asked for visit everything, in blocks, so a short answer
 means that there are no more candidates.
 
 Defined results: vectors that are null, zero, of another length than most, or hold nulls,
-infinities or NaN take no part.  Ties go to the smaller id.  Repeated ids are separate rows,
-but never their own neighbour.
+infinities or NaN take no part.  Ties go to the smaller id.  Rows that repeat an id are separate
+candidates, each with a rank of its own, but no row is a neighbour of a query of the same id; of
+several queries with one id and vector one is answered, and those with different vectors are
+answered together.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ from tidemark.llm.common import materialize, ship
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, v) of the vectors that take part."""
     v = F.col("v")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    held = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(held).alias("v"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)
     rows = rows.where(F.col("id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: F.coalesce(bad(x), F.lit(True))))
     return rows.where(F.exists(v, lambda x: x != 0))
@@ -90,9 +94,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(
-    query: np.ndarray, own: int, rows: np.ndarray, x: np.ndarray, ids: list[list[int]], k: int
-) -> tuple[list[int], list[float]]:
-    """Ids and distances of the ``k`` nearest of ``x[rows]``, ties to smaller ids, without ``own``."""
+    query: np.ndarray, own: int, rows: np.ndarray, x: np.ndarray, ids: list[list[dict]], k: int
+) -> list[tuple[int, float, int, int]]:
+    """(id, distance, rows, entry) of the ``k`` nearest rows of ``x[rows]``, ties to smaller ids, without those of ``own``."""
     gap = x[rows] - query
     dist = np.sqrt(np.einsum("ij,ij->i", gap, gap))
     if len(rows) > k + 1:
@@ -101,8 +105,13 @@ def nearest(
         near = np.flatnonzero(dist <= bound)
     else:
         near = np.arange(len(rows))
-    best = sorted((dist[i], j) for i in near for j in ids[rows[i]] if j != own)[:k]
-    return [j for _, j in best], [float(d) for d, _ in best]
+    out, left = [], k
+    for d, i, n, e in sorted((float(dist[j]), r["id"], r["n"], r["entry"]) for j in near for r in ids[rows[j]] if r["id"] != own):
+        if left <= 0:
+            break
+        out.append((i, d, n, e))
+        left -= n
+    return out
 
 
 def fitting_depth(x: np.ndarray, k: int, tables: int, width: float, probes: int, most: int, recall: float, asked: int = 40) -> int:
@@ -142,10 +151,10 @@ def search(
     k: int = 10,
     key: str = "vec_id",
     vector: str = "embedding",
-    tables: int = 12,
+    tables: int = 5,
     depth: int | None = None,
     width: float = 2.0,
-    probes: int = 1200,
+    probes: int = 400,
     cell: int = 20_000,
     recall: float = 0.95,
     sample: int = 20_000,
@@ -165,13 +174,15 @@ def search(
         return spark.createDataFrame([], empty)
     dim, count = lengths[0]["d"], lengths[0]["n"]
     rows = rows.where(F.size("v") == dim)
-    # identical vectors are one entry; a rank limit is taken before rows meet, so hot vectors stay small
+    # identical vectors are one entry; rows are counted and a rank limit taken before rows meet, so hot vectors stay small
     by = F.row_number().over(_window("v", "id"))
+    each = F.struct("id", F.least("n", F.lit(k).cast("long")).alias("n"), F.xxhash64("v").alias("entry"))
     entries = materialize(
-        rows.withColumn("r", by).where(F.col("r") <= k + 1)
-        .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        rows.groupBy("v", "id").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("r", by).where(F.col("r") <= k + 1)
+        .groupBy("v").agg(F.array_sort(F.collect_list(each)).alias("ids"))
     )
-    asked = rows.where(queries).select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    asked = rows.where(queries).select(F.col("id").alias("q"), F.col("v").alias("qv")).distinct()
     spread = rows.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("s"))
     var, size = spread.agg(F.sum(F.col("s") - F.col("m") * F.col("m")), F.sum("s")).first()
     scale = math.sqrt(var if var > 1e-24 * size else size)
@@ -218,9 +229,10 @@ def search(
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["t", "p", "q", "buckets", "qv"])
 
-    stored = entries.mapInArrow(index, "t int, p int, bucket long, v array<double>, ids array<long>")
+    held, kinds = (entries.schema[c].dataType.simpleString() for c in ("v", "ids"))
+    stored = entries.mapInArrow(index, f"t int, p int, bucket long, v {held}, ids {kinds}")
     # drawing probes is the dear part: written once, as sizes are counted before rows are dealt
-    probed = materialize(asked.mapInArrow(probe, "t int, p int, q long, buckets array<long>, qv array<double>"))
+    probed = materialize(asked.mapInArrow(probe, f"t int, p int, q long, buckets array<long>, qv {held}"))
     stored, probed = _dealt(stored, probed, ["t", "p"], cell)
 
     def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -235,10 +247,10 @@ def search(
                 lo, hi = np.searchsorted(sorted_, names, "left"), np.searchsorted(sorted_, names, "right")
                 found = [order[a:b] for a, b in zip(lo, hi) if a < b]
                 if found:
-                    out += zip([q] * k, *nearest(qv, q, np.concatenate(found), x, ids, k))
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                    out += [(q, *r) for r in nearest(qv, q, np.concatenate(found), x, ids, k)]
+        return _candidates(out)
 
-    found = stored.groupBy("t", "p", "block").cogroup(probed.groupBy("t", "p", "block")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = stored.groupBy("t", "p", "block").cogroup(probed.groupBy("t", "p", "block")).applyInArrow(meet, CANDIDATE)
     merged = materialize(_best(found, k))
     enough = merged.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, count - 1))
     rest = asked.join(enough, asked["q"] == enough["query_id"], "left_anti")
@@ -259,10 +271,10 @@ def exact(entries: DataFrame, asked: DataFrame, k: int = 10, cell: int = 20_000)
         if a.num_rows and b.num_rows:
             x, ids, whole = matrix(a.column("v")), a.column("ids").to_pylist(), np.arange(a.num_rows)
             for q, qv in zip(b.column("q").to_pylist(), matrix(b.column("qv"))):
-                out += zip([q] * k, *nearest(qv, q, whole, x, ids, k))
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+                out += [(q, *r) for r in nearest(qv, q, whole, x, ids, k)]
+        return _candidates(out)
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, CANDIDATE)
     return _best(found, k)
 
 
@@ -272,10 +284,23 @@ def _window(by: str, order: str, *more: str):
     return Window.partitionBy(by).orderBy(order, *more)
 
 
+CANDIDATE = "query_id long, vec_id long, score double, n long, entry long"
+
+
+def _candidates(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["query_id", "vec_id", "score", "n", "entry"])
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best different candidates of each query, with their ranks."""
-    rank = F.row_number().over(_window("query_id", "score", "vec_id")).cast("int")
-    return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+    """The ``k`` best candidate rows of each query, with their ranks.  A candidate that several tables
+    found is one; its ``n`` rows of the same id and distance follow each other."""
+    best = F.row_number().over(_window("query_id", "score", "vec_id", "entry"))
+    once = found.distinct()
+    few = once.withColumn("best", best).where(F.col("best") <= k)
+    rows = few.withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    rank = F.row_number().over(_window("query_id", "score", "vec_id", "entry", "turn")).cast("int")
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _dealt(left: DataFrame, right: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame]:
