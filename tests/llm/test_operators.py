@@ -106,6 +106,12 @@ def test_media_round_trip(odd, none):
         row = next(iter(got[i]))
         assert row[:4] == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert media.features(media.store(none)).count() == 0
+    where = media.store(odd)
+    assert where.inputFiles() and media.features(where).count() == odd.count()
+    heard = {r["doc_id"]: media.read_wave(bytes(r["pcm"])) for r in media.store_pcm(where).collect()}
+    codecs = {r["doc_id"]: media.read_wave(bytes(r["media"])) for r in where.collect()}
+    assert all(h[:2] == ("pcm", 16000) for h in heard.values())
+    assert all(len(h[2]) == (4 * len(codecs[i][2]) if codecs[i][0] != "ima_adpcm" else len(codecs[i][2]) // 64 * 121 * 4) for i, h in heard.items())
 
 
 def test_telephony_codecs():
@@ -113,6 +119,15 @@ def test_telephony_codecs():
     assert [int(media.MULAW[c]) for c in (0x00, 0x7F, 0x80, 0xFF)] == [-32124, 0, 32124, 0]
     assert [int(media.ALAW[c]) for c in (0x55, 0xD5, 0x2A, 0xAA)] == [-8, 8, -32256, 32256]
     assert len(set(media.ALAW.tolist())) == 256
+    # every code against the segments of the standard, written out
+    for code in range(256):
+        c = code ^ 0x55
+        exponent, mantissa = c >> 4 & 7, c & 15
+        size = mantissa * 16 + 8 if exponent == 0 else (mantissa * 16 + 264) * 2 ** (exponent - 1)
+        assert media.ALAW[code] == (size if c & 0x80 else -size)
+        c = 255 - code
+        size = (2 * (c & 15) + 33) * 2 ** (c >> 4 & 7) * 4 - 132
+        assert media.MULAW[code] == (-size if c & 0x80 else size)
     t = np.arange(121 * 50)
     wave = (8000 * np.sin(t / 9) + 3000 * np.sin(t / 31)).astype(np.int16).reshape(50, 121)
     back = media.decode_adpcm(media.encode_adpcm(wave)).astype(float)
@@ -135,6 +150,12 @@ def test_telephony_codecs():
     middle = 8000 * np.sin((t + 0.5) / 9) + 3000 * np.sin((t + 0.5) / 31)
     assert np.abs(up[1::2][8:-8] - middle[8:-8]).max() < 60
     assert len(media.resample(wave.ravel(), 16000, 8000)) == math.ceil(wave.size / 2)
+    tone = lambda hz, rate, n=8000: (10_000 * np.sin(2 * np.pi * hz * np.arange(n) / rate)).astype(np.int16)
+    level = lambda x: np.abs(x[200:-200].astype(float)).max() / 10_000
+    for hz, low, high in ((6000, 0, 0.01), (4800, 0, 0.1), (1000, 0.97, 1.03)):
+        assert low <= level(media.resample(tone(hz, 16000), 16000, 8000)) <= high
+    assert 0.97 <= level(media.resample(tone(1000, 44100), 44100, 8000)) <= 1.03 and level(media.resample(tone(9000, 44100), 44100, 8000)) < 0.02
+    assert len(media.resample(tone(1000, 44100), 44100, 8000)) == math.ceil(8000 * 80 / 441)
     for codec in media.FORMATS:
         assert media.read_wave(media.write_wave(b"\1" * 64, codec)) == (codec, 8000, b"\1" * 64)
     with pytest.raises(ValueError):

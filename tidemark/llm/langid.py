@@ -20,10 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, materialize, texts
+from tidemark.llm.common import key128, map_batches, texts
 
 UNDETERMINED = "und"
 ORDERS = (4, 3, 2, 1)
@@ -48,70 +48,60 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def fit(
-    labelled: DataFrame,
-    text: str = "text",
-    lang: str = "lang",
-    max_docs_per_lang: int = 2000,
-    max_words: int = 60_000,
-    max_grams: int = 40_000,
-) -> Model:
-    """Learn from at most about ``max_docs_per_lang`` texts of each language.
-
-    The sample is bounded (texts are chosen by hash, so the same texts whatever the
-    partitions) and so is the model: the ``max_words`` most frequent words and, for each
-    order, the ``max_grams`` most frequent n-grams.  Counting runs in Spark; the driver gets
-    only the bounded tables.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs_per_lang: int = 2000) -> Model:
+    """Learn from at most ``max_docs_per_lang`` different texts of each language.
+
+    The texts are those with the smallest hashes, so the same whatever the partitions; copies
+    count once, so neither can a text that is repeated often fill the sample nor be left out
+    with all its copies.  That bound is the only one: the model holds all words and n-grams of
+    the sample, split just as prediction splits.  Counting runs in Spark, in one job; priors
+    are counted over all rows.
     """
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(text).alias("text"), F.col(lang).alias("lang")
-    )
+    h1, h2 = key128(F.col(text))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), h1.alias("h1"), h2.alias("h2"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = tuple(sorted(sizes))
     if not langs:
         return Model((), np.zeros(0), np.zeros((0, 0)), {}, {})
     prior = np.log(np.array([sizes[k] for k in langs], dtype=float) / sum(sizes.values()))
-    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_docs_per_lang / sizes[k]))])
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    words = materialize(
-        rows.where(draw < rate[F.col("lang")])
-        .select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w"))
-        .groupBy("lang", "w")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    at = {k: i for i, k in enumerate(langs)}
-    by_lang = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for k, i in at.items()]
-
-    def top(df: DataFrame, key: str, most: int) -> list:
-        return (
-            df.groupBy(key).agg(F.sum("n").alias("all"), *by_lang)
-            .orderBy(F.desc("all"), key).limit(most).collect()
-        )
-
-    blocks: list[np.ndarray] = []
-    used = 0
-
-    def learn(rows: list, key: str) -> dict[str, int]:
-        nonlocal used
-        counts = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in rows], dtype=float).reshape(-1, len(langs))
-        total = counts.sum(axis=0)
-        blocks.append(np.log((counts + 0.5) / (total + 0.5 * max(1, len(rows)))))
-        index = {r[key]: used + j for j, r in enumerate(rows)}
-        used += len(rows)
-        return index
-
-    known = learn(top(words, "w", max_words), "w")
-    padded = words.select("lang", "n", F.concat(F.lit(" "), "w", F.lit(" ")).alias("p"))
-    grams = {}
-    for n in ORDERS:
-        grams[n] = learn(top(padded.select("lang", "n", F.explode(_grams("p", n)).alias("g")), "g", max_grams), "g")
-    return Model(langs, prior, np.concatenate(blocks), known, grams)
-
-
-def _grams(column: str, n: int):
-    """All n-grams of a string column."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(column) - (n - 1)))
-    return F.transform(starts, lambda at: F.substring(F.col(column), at, F.lit(n)))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h1", "h2"))
+    drawn = rows.select("lang", "h1", "h2").distinct().withColumn("rank", rank).where(F.col("rank") <= max_docs_per_lang)
+    # broadcast: no more rows than max_docs_per_lang a language
+    sample = rows.join(F.broadcast(drawn.drop("rank")), ["lang", "h1", "h2"]).groupBy("lang", "h1", "h2").agg(F.first("text").alias("text"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words: Counter[tuple[str, str]] = Counter()
+        for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for piece in _cuts(x):
+                words.update((k, w) for w in _WORD.findall(piece.lower()))
+        seen: Counter[tuple[int, str, str]] = Counter()
+        for (k, w), n in words.items():
+            seen[0, w, k] += n
+            for order in ORDERS:
+                for g in grams(w, order):
+                    seen[order, g, k] += n
+        order, g, k = zip(*seen) if seen else ((), (), ())
+        columns = [pa.array(order, pa.int32()), pa.array(g, pa.string()), pa.array(k, pa.string()), pa.array(list(seen.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["order", "g", "lang", "n"])
+
+    by_lang = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)]
+    counted = map_batches(sample.select("lang", "text"), run, "order int, g string, lang string, n long")
+    table = counted.groupBy("order", "g").agg(*by_lang).toArrow()
+    order, units = table.column("order").to_numpy(), table.column("g").to_pylist()
+    counts = np.stack([table.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(float) if len(order) else np.zeros((0, len(langs)))
+    known: dict[int, dict[str, int]] = {n: {} for n in (0, *ORDERS)}
+    for n in known:
+        at = np.flatnonzero(order == n)
+        if len(at):
+            counts[at] = np.log((counts[at] + 0.5) / (counts[at].sum(axis=0) + 0.5 * len(at)))
+        known[n] = {units[i]: int(i) for i in at}
+    return Model(langs, prior, counts.astype(np.float32), known.pop(0), known)
+
+
+def grams(word: str, n: int) -> list[str]:
+    """The n-grams of a word, its ends marked by spaces; single characters without the marks."""
+    padded = f" {word} " if n > 1 else word
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
 class Scorer:
@@ -124,13 +114,8 @@ class Scorer:
         self.known = [model.grams.get(n, {}) for n in ORDERS]
 
     def _unseen(self, word: str) -> list[int]:
-        padded = f" {word} "
-        size = len(padded)
         for n, known in zip(ORDERS, self.known):
-            hit = [k for i in range(size - n + 1) if (k := known.get(padded[i : i + n])) is not None]
-            if n == 1:
-                hit = [k for g in word if (k := known.get(g)) is not None]
-            if hit:
+            if hit := [k for g in grams(word, n) if (k := known.get(g)) is not None]:
                 return hit
         return []
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, texts
+from tidemark.llm.common import map_batches, materialize, texts
 
 # WAVE format tags and the IMA ADPCM step and index tables.
 FORMATS = {"pcm": 1, "alaw": 6, "mulaw": 7, "ima_adpcm": 17}
@@ -141,36 +141,42 @@ def decode(codec: str, data: np.ndarray) -> np.ndarray:
     return decode_adpcm(data[: len(data) // BLOCK * BLOCK].reshape(-1, BLOCK)).ravel()
 
 
-def _taps(up: int, reach: int) -> np.ndarray:
-    """Interpolation weights of each phase between samples, as integers that sum to 2**15."""
-    x = np.arange(-reach + 1, reach + 1)[None, :] - np.arange(up)[:, None] / up
-    w = np.sinc(x) * np.cos(np.pi * np.clip(x / (2 * reach), -0.5, 0.5)) ** 2
-    t = np.round(w / w.sum(axis=1, keepdims=True) * 32768).astype(np.int64)
-    t[:, reach - 1] += 32768 - t.sum(axis=1)
+def _taps(shift: float, reach: int, cut: float) -> np.ndarray:
+    """Integer weights, summing to 2**15, of the samples around a place ``shift`` after one of them,
+    for a low-pass at ``cut`` of the source's band."""
+    x = np.arange(-reach + 1, reach + 1) - shift
+    w = np.sinc(x * cut) * np.cos(np.pi * np.clip(x / (2 * reach), -0.5, 0.5)) ** 2
+    t = np.round(w / w.sum() * 32768).astype(np.int64)
+    t[reach - 1] += 32768 - t.sum()
     return t
 
 
 def resample(samples: np.ndarray, source: int, target: int, reach: int = 4) -> np.ndarray:
-    """Samples at another rate by windowed-sinc interpolation in integers; ends repeat.
+    """Samples at another rate by windowed-sinc filters in integers, a phase of the common multiple
+    at a time; ends repeat.
 
-    Whole multiples of the source rate interpolate by phase; other rates pick the nearest
-    phase of the common multiple.
+    To a lower rate the filter also keeps out what that rate can't hold, and is longer by as
+    much.  Memory follows the longer of input and output.
     """
     up = target // np.gcd(source, target)
     down = source // np.gcd(source, target)
     if len(samples) == 0 or up == down:
         return samples.astype(np.int16)
-    x = np.pad(samples.astype(np.int32), (reach - 1, reach), mode="edge").astype(np.int64)
-    out = np.empty((len(samples), up), dtype=np.int16)
-    for phase, taps in enumerate(_taps(up, reach)):
-        if taps[reach - 1] == 32768:
-            out[:, phase] = samples
+    cut = 1.0 if up > down else 0.9 * up / down
+    half = int(np.ceil(reach / cut))
+    x = np.pad(samples.astype(np.int32), (half - 1, half), mode="edge").astype(np.int64)
+    out = np.empty(-(-len(samples) * up // down), dtype=np.int16)
+    for phase in range(min(up, len(out))):
+        base = np.arange(phase, len(out), up) * down // up
+        taps = _taps(phase * down % up / up, half, cut)
+        if taps[half - 1] == 32768:
+            out[phase::up] = samples[base]
             continue
-        total = np.zeros(len(samples), dtype=np.int64)
+        total = np.zeros(len(base), dtype=np.int64)
         for k, t in enumerate(taps):
-            total += t * x[k : k + len(samples)]
-        out[:, phase] = np.clip((total + 16384) >> 15, -32768, 32767)
-    return out.ravel()[::down]
+            total += t * x[base + k]
+        out[phase::up] = np.clip((total + 16384) >> 15, -32768, 32767)
+    return out
 
 
 @dataclass(frozen=True)
@@ -220,7 +226,7 @@ def analyse(media: list[bytes], target: int = 16000) -> list[Audio]:
 
 
 def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_bytes, media): each text's padded bytes as a telephony WAVE file."""
+    """(key, n_bytes, media): each text's padded bytes as a telephony WAVE file, written to the shared folder."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batch: pa.RecordBatch):
@@ -235,7 +241,7 @@ def store(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 names=[key, "n_bytes", "media"],
             )
 
-    return map_batches(df.select(key, text), run, f"`{key}` {kind}, n_bytes long, media binary")
+    return materialize(map_batches(df.select(key, text), run, f"`{key}` {kind}, n_bytes long, media binary"))
 
 
 def features(df: DataFrame, key: str = "doc_id", media: str = "media", n_bytes: str = "n_bytes", pcm: bool = False) -> DataFrame:
@@ -269,6 +275,18 @@ def features(df: DataFrame, key: str = "doc_id", media: str = "media", n_bytes:
     return map_batches(df.select(key, n_bytes, media), run, schema)
 
 
+def store_pcm(df: DataFrame, key: str = "doc_id", media: str = "media", target: int = 16000) -> DataFrame:
+    """(key, pcm): stored media as WAVE files of linear 16-bit samples at ``target`` a second, written to the shared folder."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch):
+        for part in _parts(batch, lambda x: len(x or b"")):
+            made = [write_wave(a.pcm, "pcm", target) for a in analyse(part.column(1).to_pylist(), target)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=[key, "pcm"])
+
+    return materialize(map_batches(df.select(key, media), run, f"`{key}` {kind}, pcm binary"))
+
+
 def _parts(batch: pa.RecordBatch, size, column: int = 1):
     """The batch in runs of about ``_GROUP`` bytes, so that memory doesn't follow the batch."""
     start = total = 0
