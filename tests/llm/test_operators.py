@@ -231,6 +231,45 @@ def test_edits_keep_counts_exact():
             assert tree.text == text and tree.chars == len(text) and tree.tokens == b.count(text)
 
 
+def test_cuts_are_safe_in_any_text():
+    """Both sides of every safe place are encoded as they are within the whole; all kinds of characters."""
+    draw = random.Random(15)
+    b = bytebpe.load(PATH)
+    parts = ["a", "Z", "é", "ж", "字", "か", "한", "0", "9", "٣", "²", "'", "'s", "'ll", "!", "-", ".", "。", "，", "’", "…", "🎈", "\u0301", "𝒜", "ⅷ"]
+    parts += [" ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "\u2028", "\x00", "ʼ", "ª", "¹", "_", "(", "“"]
+    seen = 0
+    for _ in range(8000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(2, 14)))
+        whole = b.encode(text).tolist()
+        for m in bytebpe.SAFE.finditer(text):
+            seen += 1
+            assert b.encode(text[: m.end()]).tolist() + b.encode(text[m.end() :]).tolist() == whole, (text, m.end())
+    assert seen > 10_000
+    for c in [*range(0x3100), *range(0x3100, 0x30000, 53)]:
+        if not 0xD800 <= c < 0xE000:
+            for text in (f"a{chr(c)}1", f"1{chr(c)}a", f"!{chr(c)}b", f" {chr(c)}.", f"字{chr(c)} x"):
+                for m in bytebpe.SAFE.finditer(text):
+                    assert b.encode(text[: m.end()]).tolist() + b.encode(text[m.end() :]).tolist() == b.encode(text).tolist(), (hex(c), text)
+
+
+@pytest.mark.parametrize("kind", ["prose", "cjk", "lines", "double", "csv"])
+def test_edits_touch_little_in_any_script(kind):
+    draw = random.Random(3)
+    make = {
+        "prose": lambda: prose(draw, 20_000), "double": lambda: prose(draw, 20_000).replace(" ", "  "), "lines": lambda: prose(draw, 20_000).replace(" ", "\n"),
+        "cjk": lambda: "".join(draw.choice("的一是在不了有和人这，。") if draw.random() < 0.2 else chr(draw.randint(0x4E00, 0x9FA5)) for _ in range(120_000)),
+        "csv": lambda: ",".join(str(draw.randint(0, 10**6)) for _ in range(20_000)),
+    }[kind]
+    b = bytebpe.load(PATH)
+    text = make()
+    tree = tokencount.TokenTree(text, b)
+    assert tree.tokens == b.count(text)
+    tree.encoded = 0
+    at = len(text) // 2
+    tree.apply(tokencount.Edit(at, at + 3, "xyz"))
+    assert tree.encoded < 2_000 and tree.tokens == b.count(text[:at] + "xyz" + text[at + 3 :])
+
+
 def test_edits_touch_little():
     b = bytebpe.load(PATH)
     tree = tokencount.TokenTree(prose(random.Random(2), 20_000), b)
@@ -343,6 +382,7 @@ def test_bpe_equals_tokenizers(spark, odd, none):
     exact = bytebpe.load(PATH).exact
     draw = random.Random(6)
     passage = [prose(draw, 700) for _ in range(3)]
+    passage += [x.replace(" ", "\n") for x in passage] + ["".join(chr(draw.randint(0x4E00, 0x9FA5)) if i % 7 else "，" for i in range(4000))]
     more = [(1000 + i, prose(draw, draw.randint(0, 60)) + draw.choice(passage) + " " * (i % 3) + prose(draw, 30) + draw.choice(passage), "s", 0, 0.0, "") for i in range(30)]
     docs = odd.unionByName(spark.createDataFrame([*more, more[0]], SCHEMA))
     want = Counter()

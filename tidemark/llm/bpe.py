@@ -8,20 +8,20 @@
    what lies between them.
 
 Ids of a chunk's inside hold in any context because it begins and ends where a pre-token
-must begin: at a lone space between two non-spaces.  At each join the region to encode again
+surely ends (:data:`tidemark.llm.bytebpe.SAFE`): before white space, and between letters, digits
+and marks.  At each join the region to encode again
 grows from the chunk border both ways until it reaches such places, from which on the
 chunk's own ids and those of the whole text agree exactly.  A chunk without such places
 joins the region whole.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to an empty
-text.  Repeated rows and keys are kept row by row.  A vocabulary that isn't plain byte-level
-BPE, or has special tokens with white space, is encoded text by text without reuse.
+text.  Repeated rows and keys are kept row by row.  A text in which a special token's string
+occurs is encoded as a whole, and so is every text if the vocabulary isn't plain byte-level BPE.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytebpe import ByteBpe, load
+from tidemark.llm.bytebpe import SAFE, ByteBpe, load
 from tidemark.llm.chunks import bounds
 from tidemark.llm.common import map_batches, materialize
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
-
-
 def split(text: str) -> tuple[list[str], list[bytes]]:
     """A text's chunks and their hashes."""
     raw = text.encode("utf-8")
@@ -45,15 +42,21 @@ def split(text: str) -> tuple[list[str], list[bytes]]:
 
 
 def inside(chunk: str) -> tuple[int, int] | None:
-    """First and last place in a chunk where a pre-token must begin, or None if they don't differ."""
-    first = _SAFE.search(chunk)
+    """First and last place in a chunk where a pre-token surely ends, or None if they don't differ."""
+    first = SAFE.search(chunk)
     if not first:
         return None
-    at = len(chunk)
-    while (at := chunk.rfind(" ", 0, at)) > first.start():
-        if at + 1 < len(chunk) and not chunk[at - 1].isspace() and not chunk[at + 1].isspace():
-            return first.start(), at
-    return None
+    reach = 64
+    while True:
+        begin = max(first.end() + 1, len(chunk) - reach)
+        last = None
+        for last in SAFE.finditer(chunk, begin):
+            pass
+        if last:
+            return first.end(), last.end()
+        if begin == first.end() + 1:
+            return None
+        reach *= 8
 
 
 def assemble(parts: list[str], known: dict[int, np.ndarray], bpe: ByteBpe) -> np.ndarray:
@@ -69,8 +72,8 @@ def assemble(parts: list[str], known: dict[int, np.ndarray], bpe: ByteBpe) -> np
     return np.concatenate([*out, bpe.encode("".join(region))])
 
 
-def reusable(bpe: ByteBpe) -> bool:
-    return bpe.fast is not None and not any(re.search(r"\s", k) for k in bpe.special)
+def reusable(bpe: ByteBpe, text: str) -> bool:
+    return bpe.fast is not None and not bpe.whole(text)
 
 
 def _digest(ids: np.ndarray, bpe: ByteBpe) -> tuple[int, str, str]:
@@ -138,7 +141,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
             body = batch.column("z")[i].as_py()
             whole = plain.decompress(body).decode("utf-8") if body else ""
             listed = batch.column("roles")[i].as_py() or []
-            if not listed or not reusable(bpe):
+            if not listed or not reusable(bpe, whole):
                 take.append(i)
                 rows.append(("done", None, None, *_row(bpe.encode(whole), bpe, ids)))
                 continue

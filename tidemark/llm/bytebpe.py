@@ -10,12 +10,32 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 
 # The pre-token pattern of the byte-level pre-tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Unicode's white space, and letters, digits and marks that have long been such.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LETTER = "A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ώА-яёа-џぁ-ゖァ-ヺ一-龥가-힣"
+_DIGIT = "0-9"
+_MARK = "!-&(-/:-@\\[-`{-~、。「-】，．：；！？（）…—–“”‘’«»¿¡·"
+
+#: Places where a pre-token ends whatever stands around, so that both sides are encoded as they are
+#: within the whole: before white space that follows something else, and between letters, digits and
+#: marks.  A mark may take the letters after it along only if it is an apostrophe.
+SAFE = re.compile(
+    rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=[{_LETTER}])(?=[{_DIGIT}{_MARK}'])|(?<=[{_DIGIT}])(?=[{_LETTER}{_MARK}'])|(?<=[{_MARK}])(?=[{_LETTER}{_DIGIT}])"
+)
+
+
+def safe_between(left: str, right: str) -> bool:
+    """Whether a pre-token surely ends where two texts meet."""
+    return bool(left) and bool(right) and SAFE.match(left[-1] + right[0], 1) is not None
+
+
 #: A run of white space this long goes to ``tokenizers``: the fast path's regex gives up on it.
 LONG_SPACE = 50_000
 
@@ -76,6 +96,10 @@ class ByteBpe:
             return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
+    def whole(self, text: str) -> bool:
+        """Whether a text must be encoded as a whole: a special token's string in it cuts pre-tokens."""
+        return any(k in text for k in self.special)
+
     def count(self, text: str) -> int:
         return len(self.encode(text))
 
@@ -89,8 +113,6 @@ class ByteBpe:
 def _refused(text: str) -> bool:
     if len(text) < LONG_SPACE:
         return False
-    import re
-
     return re.search(r"\s{%d}" % LONG_SPACE, text) is not None
 
 

@@ -1,7 +1,7 @@
 """Token counts that follow edits without encoding a document again.
 
-A document is cut at places where a pre-token must begin (a single space between two
-non-spaces) into segments of about ``SEGMENT`` characters.  A binary tree over the segments
+A document is cut at places where a pre-token surely ends (before white space, and between
+letters, digits and marks) into segments of about ``SEGMENT`` characters.  A binary tree over the segments
 holds sums of characters and of tokens.  An edit descends the tree to the segments it
 touches, takes one more on the left as boundary context, and walks right until a pre-token
 begins where an old segment begins; only that region is encoded again and only the sums
@@ -17,7 +17,6 @@ string occurs is encoded anew, as such strings cut pre-tokens.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,11 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bytebpe import ByteBpe, load
+from tidemark.llm.bytebpe import SAFE, ByteBpe, load, safe_between
 from tidemark.llm.common import map_batches
 
 SEGMENT = 256
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Unedited characters that must precede an edit in the region encoded again: the pattern looks ahead less.
 _CONTEXT = 4
 
@@ -44,10 +42,10 @@ class Edit:
 
 
 def cut(text: str, size: int = SEGMENT) -> list[str]:
-    """The text in segments, each but the first beginning where a pre-token must."""
+    """The text in segments, each but the last ending where a pre-token surely does."""
     out, at = [], 0
     while len(text) - at > size:
-        found = _SAFE.search(text, at + size - 1)
+        found = SAFE.search(text, at + size)
         if not found:
             break
         out.append(text[at : found.start()])
@@ -63,7 +61,10 @@ class TokenTree:
     def __init__(self, text: str, bpe: ByteBpe):
         self.bpe = bpe
         self.encoded = 0
-        self._build(cut(text))
+        self._build(self._cut(text))
+
+    def _cut(self, text: str) -> list[str]:
+        return [text] if self.bpe.whole(text) else cut(text)
 
     def _count(self, segment: str) -> int:
         self.encoded += len(segment)
@@ -115,7 +116,7 @@ class TokenTree:
         start = min(max(0, edit.start), self.chars)
         end = min(max(start, edit.end), self.chars)
         if not self.segments:
-            self._build(cut(edit.text))
+            self._build(self._cut(edit.text))
             return
         first, begin = self._find(start)
         while first and start - begin < _CONTEXT:
@@ -126,7 +127,7 @@ class TokenTree:
         region = "".join(self.segments[first : last + 1])
         region = region[: start - begin] + edit.text + region[end - begin :]
         after = last + 1
-        while after < len(self.segments) and not self._begins(region, self.segments[after]):
+        while after < len(self.segments) and not safe_between(region, self.segments[after]):
             region += self.segments[after]
             after += 1
         if any(k in self._near(first, region, after) for k in self.bpe.special):
@@ -158,11 +159,6 @@ class TokenTree:
             after += 1
         return left[-most:] + region + right[:most] if most else region
 
-    @staticmethod
-    def _begins(region: str, following: str) -> bool:
-        """Whether a pre-token surely begins after ``region``: a lone space, then no space."""
-        return bool(region) and not region[-1].isspace() and len(following) > 1 and following[0] == " " and not following[1].isspace()
-
 
 def count_edits(
     docs: DataFrame, edits: DataFrame, path: str, text: str = "text", key: str = "doc_id"
