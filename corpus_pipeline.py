@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bytebpe, langid, linededup, minhash, packing, pii
+from tidemark.llm import bytebpe, langid, linededup, minhash, packing, pii, queries
 from tidemark.llm.common import materialize, table
 
 
@@ -23,8 +23,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that spread over ten sources or more from all documents but the first; keep every document."""
-    cut = linededup.remove(docs, min_sites=10)
+    """Remove lines that spread over five sources or more from all documents but the first; keep every document."""
+    cut = linededup.remove(docs, min_sites=queries.MIN_SITES)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -79,6 +79,30 @@ def test_language(spark, odd, none):
     assert {r["doc_id"] for r in labelled.where(langid.held_out()).collect()} == {i for i, *_ in labelled.collect() if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_languages_of_copies(spark):
+    """A language that has one text only, however often, is learned; copies don't fill the sample."""
+    rows = [("wem thor gry nfi", "cc")] * 500 + [("ra li mo ta " * 5 + str(i), "aa") for i in range(30)] + [("zu ki qo xe", "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(3), max_docs_per_lang=10)
+    assert model.langs == ("aa", "bb", "cc") and {"wem", "thor", "zu", "mo"} <= set(model.words)
+    assert langid.Scorer(model).text("gry wem")[0] == "cc"
+    assert math.exp(model.prior[2]) == pytest.approx(500 / 531)
+
+
+def test_shared_folder_of_a_cluster_must_be_named():
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+            applicationId = "a"
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
 def test_backoff_takes_the_longest_order_known():
     table = np.array([[0.0, -9.0], [-9.0, 0.0], [-1.0, -2.0]])
     model = langid.Model(("a", "b"), np.zeros(2), table, {"word": 0}, {4: {"oose": 1}, 3: {}, 2: {"xz": 2}, 1: {"q": 0}})

@@ -66,7 +66,7 @@ def boilerplate(lines: DataFrame, min_sites: int, band: float) -> DataFrame:
 
 
 def remove(
-    docs: DataFrame, min_sites: int = 10, band: float = 0.15, text: str = "text", site: str = "source", key: str = "doc_id"
+    docs: DataFrame, min_sites: int = 5, band: float = 0.15, text: str = "text", site: str = "source", key: str = "doc_id"
 ) -> DataFrame:
     """``docs`` with boilerplate lines gone from ``text``, and ``n_lines`` and ``n_removed`` added."""
     found = occurrences(docs, text, site, key)
@@ -107,7 +107,7 @@ WITH cut AS (
 boiler AS (
   SELECT trim(line) AS line, min(doc_id) AS keeper
   FROM cut WHERE trim(line) <> ''
-  GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, chr(1))) >= 10),
+  GROUP BY trim(line) HAVING count(DISTINCT coalesce(source, chr(1))) >= 5),
 marked AS (
   SELECT cut.doc_id, cut.line, cut.pos, keeper IS NOT NULL AND keeper IS DISTINCT FROM doc_id AS gone
   FROM cut LEFT JOIN boiler ON trim(cut.line) = boiler.line)

@@ -11,6 +11,11 @@ from tidemark.llm import ann, bpe, bytebpe, html, langid, linededup, media, minh
 from tidemark.llm.common import table
 
 
+#: Sites that make a line boilerplate: a quarter of the sources, so that passages count although a
+#: third of all rows may come from one of them.
+MIN_SITES = 5
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from those that aren't held out."""
     docs = table(spark, sf_dir, "documents")
@@ -25,8 +30,8 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without lines that spread over ten sources or more; the text as a digest."""
-    kept = linededup.remove(table(spark, sf_dir, "documents"), min_sites=10)
+    """Every document without lines that spread over five sources or more; the text as a digest."""
+    kept = linededup.remove(table(spark, sf_dir, "documents"), min_sites=MIN_SITES)
     return kept.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
 
 
