@@ -132,7 +132,7 @@ def merge_full(spark, sf_dir):
     """Full resolution of intermediate results of two halves of the log."""
     messages = event_messages(spark, sf_dir)
     middle = messages.agg(F.floor(F.max("seq") / 2).alias("mid"))
-    halves = messages.join(F.broadcast(middle))
+    halves = messages.join(F.broadcast(middle))  # one row
     old = resolve(halves.where(F.col("seq") <= F.col("mid")), K, SUM, INTERMEDIATE)
     new = resolve(halves.where(F.col("seq") > F.col("mid")), K, SUM, INTERMEDIATE)
     both = old.unionByName(new).select("k", "seq", "op", "value")
@@ -268,9 +268,10 @@ def write_old_exists(spark, sf_dir):
 
 
 @query(SQL["merge_update_sum"])
-def optimize_invariance(spark, sf_dir):
-    """Reads after part of the key range, and the older half of the log there, was compacted."""
+def intermediate_invariance(spark, sf_dir):
+    """Reads after part of the key range, and the older half of the log there, was combined."""
     messages = event_messages(spark, sf_dir)
+    # one row
     middle = F.broadcast(messages.agg(F.floor(F.max("seq") / 2).alias("mid")))
     marked = messages.join(middle).withColumn("__old", (F.col("seq") <= F.col("mid")) & F.col("k").between(20, 90))
     compacted = resolve(marked.where("__old"), K, SUM, INTERMEDIATE).select("k", "seq", "op", "value")
