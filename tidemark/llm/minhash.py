@@ -249,24 +249,29 @@ def in_blocks(large: DataFrame, signed: DataFrame, packed: DataFrame, threshold:
     Members of a bucket are dealt into cells by their distance to its leader and by their size:
     texts whose cells don't touch can't reach the threshold (weighted Jaccard distance is a
     metric, and a text with fewer than ``threshold`` times another's shingles is too far from
-    it).  Cells are cut into parts of about ``block`` texts and a bounded number of shingles; a
-    task compares two parts at once and returns links alone.  A pair counts in the first bucket
-    that both are in.
+    it).  Members of the bucket's largest class have cells of their own, which never meet each
+    other, as their texts are linked already.  Cells are cut into parts of about ``block`` texts
+    and a bounded number of shingles; a task compares two parts at once and returns links alone.
+    A pair counts in the first bucket that both are in.
     """
     reach = 1 - threshold + 1e-9
     near = F.floor(F.col("far") / reach).cast("int")
     size = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / -float(np.log(threshold - 1e-9))).cast("int")
     sides = signed.select("node", "keys", "size").join(large.select("node").distinct(), "node", "left_semi")
-    cells = materialize(large.select("band", "h", "node", "label", "far").join(sides.select("node", "size"), "node").withColumns({"a": near, "b": size}))
-    by = ["band", "h", "a", "b"]
+    labels = large.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = labels.groupBy("band", "h").agg(F.max_by("label", F.struct("m", "label")).alias("most"))
+    cells = large.select("band", "h", "node", "label", "far").join(sides.select("node", "size"), "node").join(most, ["band", "h"])
+    cells = materialize(cells.withColumns({"a": near, "b": size, "c": (F.col("label") != F.col("most")).cast("int")}).drop("most", "far"))
+    by = ["band", "h", "a", "b", "c"]
     parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / _SHINGLES)).cast("int")
     counted = materialize(cells.groupBy(*by).agg(parts.alias("parts")))
-    mine = cells.join(counted, by).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    steps = [F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)]
-    beside = mine.withColumn("to", F.explode(F.array(*steps))).withColumns({"a2": F.col("a") + F.col("to.x"), "b2": F.col("b") + F.col("to.y")})
-    other = counted.select("band", "h", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("parts").alias("parts2"))
-    met = beside.join(other, ["band", "h", "a2", "b2"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
-    here, there = F.struct("a", "b", "i"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("j").alias("i"))
+    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
+    beside = counted.withColumn("to", F.explode(steps)).select(*by, "parts", (F.col("a") + F.col("to.x")).alias("a2"), (F.col("b") + F.col("to.y")).alias("b2"))
+    other = counted.select("band", "h", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"), F.col("parts").alias("parts2"))
+    touching = materialize(beside.join(other, ["band", "h", "a2", "b2"]).where("c + c2 > 0"))
+    met = cells.join(touching, by).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
+    here, there = F.struct("a", "b", "c", "i"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("c2").alias("c"), F.col("j").alias("i"))
     dealt = met.select("band", "h", "node", "label", F.least(here, there).alias("one"), F.greatest(here, there).alias("two"), (here <= there).alias("left"))
     # a part beside itself needs each of its texts once
     dealt = dealt.join(sides.select("node", "keys"), "node").join(packed, "node")
