@@ -15,11 +15,14 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +107,26 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+class Names:
+    """A dictionary of strings to rows of the table in twelve bytes an entry: sorted 64-bit hashes."""
+
+    def __init__(self, known: dict[str, int]):
+        order = sorted((xxhash.xxh3_64_intdigest(w), k) for w, k in known.items())
+        self.hashes, self.places = array("Q", [h for h, _ in order]), array("I", [k for _, k in order])
+
+    def get(self, word: str) -> int | None:
+        h = xxhash.xxh3_64_intdigest(word)
+        i = bisect_left(self.hashes, h)
+        return self.places[i] if i < len(self.hashes) and self.hashes[i] == h else None
+
+
+def packed(model: Model) -> Model:
+    """The model as executors hold it: Python workers live on, so a large dictionary would stay in their memory."""
+    return replace(model, words=Names(model.words), grams={n: Names(g) for n, g in model.grams.items()})
+
+
 class Scorer:
-    """Scores texts with a model; remembers unseen words up to a bound."""
+    """Scores texts with a model; remembers words up to a bound."""
 
     def __init__(self, model: Model, memory: int = 50_000):
         self.model = model
@@ -121,14 +142,12 @@ class Scorer:
 
     def rows(self, word: str) -> list[int]:
         """The model's rows whose mean scores a word; none if the model can't tell."""
-        k = self.model.words.get(word)
-        if k is not None:
-            return [k]
         hit = self.seen.get(word)
         if hit is None:
             if len(self.seen) >= self.memory:
                 self.seen.clear()
-            hit = self.seen[word] = self._unseen(word)
+            k = self.model.words.get(word)
+            hit = self.seen[word] = self._unseen(word) if k is None else [k]
         return hit
 
     def text(self, text: str) -> tuple[str, float]:
@@ -176,7 +195,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     """
     names = [prefix + "lang_pred", prefix + "score"]
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(packed(model))
     more = [] if text in keep else [F.col(text)]
     source = df.select(*[F.col(c) for c in keep], *more)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]]
