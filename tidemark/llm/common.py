@@ -90,3 +90,22 @@ def key128(col: Column) -> list[Column]:
     """Two independent 64-bit hashes of a string column; null and empty hash alike."""
     text = F.coalesce(col, F.lit(""))
     return [F.xxhash64(text), F.xxhash64(F.lit(0x5DEECE66D), text)]
+
+
+def few_texts(rows: DataFrame, n: float, by: str, text: str = "text") -> tuple[DataFrame, dict[str, int]]:
+    """About ``n`` different texts of each value of ``by``, those with the smallest hashes, and each value's rows.
+
+    The texts come as (by, h1, h2, text), the same ones whatever the partitions; all if there are
+    no more.  Only texts whose hash is below a cutoff leave their partition: it follows from a
+    sketch of how many different ones there are, so copies fill nothing and no task sees a
+    whole group.  ``by`` needs few different values, as a row of each reaches the driver.
+    """
+    h1, h2 = key128(F.col(text))
+    hashed = rows.select(F.col(by).alias("by"), h1.alias("h1"), h2.alias("h2"), F.col(text).alias("text"))
+    sizes = hashed.groupBy("by").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h1").alias("texts")).collect()
+    cuts = [(r["by"], int(min(1.0, n / r["texts"]) * ((1 << 64) - 1)) - (1 << 63)) for r in sizes]
+    kind = rows.schema[by].dataType.simpleString()
+    # broadcast: a row for each value of ``by``
+    cut = F.broadcast(rows.sparkSession.createDataFrame([(k, min(c, (1 << 63) - 1)) for k, c in cuts], f"by {kind}, cut long"))
+    few = hashed.join(cut, "by").where("h1 <= cut").groupBy("by", "h1", "h2").agg(F.first("text").alias("text"))
+    return few.select(F.col("by").alias(by), "h1", "h2", F.col("text").alias(text)), {r["by"]: r["n"] for r in sizes}

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key128, map_batches, texts
+from tidemark.llm.common import few_texts, map_batches, texts
 
 UNDETERMINED = "und"
 ORDERS = (4, 3, 2, 1)
@@ -60,17 +60,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs_pe
     the sample, split just as prediction splits.  Counting runs in Spark, in one job; priors
     are counted over all rows.
     """
-    h1, h2 = key128(F.col(text))
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), h1.alias("h1"), h2.alias("h2"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    # more than are wanted, as the number drawn is an estimate; the rest leave by rank
+    few, sizes = few_texts(rows, 1.5 * max_docs_per_lang + 10 * math.sqrt(max_docs_per_lang), "lang")
     langs = tuple(sorted(sizes))
     if not langs:
         return Model((), np.zeros(0), np.zeros((0, 0)), {}, {})
     prior = np.log(np.array([sizes[k] for k in langs], dtype=float) / sum(sizes.values()))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h1", "h2"))
-    drawn = rows.select("lang", "h1", "h2").distinct().withColumn("rank", rank).where(F.col("rank") <= max_docs_per_lang)
-    # broadcast: no more rows than max_docs_per_lang a language
-    sample = rows.join(F.broadcast(drawn.drop("rank")), ["lang", "h1", "h2"]).groupBy("lang", "h1", "h2").agg(F.first("text").alias("text"))
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= max_docs_per_lang)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: Counter[tuple[str, str]] = Counter()

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import few_texts, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -237,14 +237,13 @@ class Model:
         return self.skip + FLOOR + 2 * spread
 
 
-def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000, max_traits: int = 5_000) -> Model:
-    """Count labels that the base patterns give in about ``max_docs`` texts chosen by hash.
+def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000) -> Model:
+    """Count labels that the base patterns give in about ``max_docs`` different texts chosen by hash.
 
-    Counting runs on the executors; at most ``max_traits`` traits reach the driver.
+    Counting runs on the executors.  That bound is the only one: all traits of the sample are learned.
     """
-    rows = docs.select(F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-    rate = min(1.0, max_docs / max(1, docs.count()))
-    rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < rate * (1 << 20))
+    rows = docs.select(F.col(text).alias("text"), F.lit(0).alias("all")).where(F.col("text").rlike("[0-9@]"))
+    rows = few_texts(rows, max_docs, "all")[0].select("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter[tuple[str, int]] = Counter()
@@ -263,9 +262,8 @@ def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000, max_traits:
         return pa.RecordBatch.from_arrays(columns, names=["what", "label", "n"])
 
     counted = map_batches(rows, run, "what string, label int, n long").groupBy("what", "label").agg(F.sum("n").alias("n"))
-    table = counted.groupBy("what").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LABELS))], F.sum("n").alias("all"))
-    few = table.orderBy(F.col("what").startswith("trait "), F.desc("all"), "what").limit(max_traits).collect()
-    counts = {r["what"]: np.array([r[f"n{k}"] for k in range(len(LABELS))], dtype=float) for r in few}
+    table = counted.groupBy("what").agg(*[F.sum(F.when(F.col("label") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LABELS))])
+    counts = {r["what"]: np.array([r[f"n{k}"] for k in range(len(LABELS))], dtype=float) for r in table.collect()}
     none = np.zeros(len(LABELS))
     label = counts.get("label", none) + 1
     agree = counts.get("skip", none)
