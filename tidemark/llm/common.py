@@ -92,6 +92,10 @@ def key128(col: Column) -> list[Column]:
     return [F.xxhash64(text), F.xxhash64(F.lit(0x5DEECE66D), text)]
 
 
+#: Texts of a sample that one task should count.
+TEXTS = 250
+
+
 def few_texts(rows: DataFrame, n: float, by: str, text: str = "text") -> tuple[DataFrame, dict[str, int]]:
     """About ``n`` different texts of each value of ``by``, those with the smallest hashes, and each value's rows.
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import few_texts, map_batches, texts
+from tidemark.llm.common import TEXTS, few_texts, map_batches, texts
 
 UNDETERMINED = "und"
 ORDERS = (4, 3, 2, 1)
@@ -57,8 +57,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs_pe
     The texts are those with the smallest hashes, so the same whatever the partitions; copies
     count once, so neither can a text that is repeated often fill the sample nor be left out
     with all its copies.  That bound is the only one: the model holds all words and n-grams of
-    the sample, split just as prediction splits.  Counting runs in Spark, in one job; priors
-    are counted over all rows.
+    the sample, split just as prediction splits.  Counting runs in Spark; priors are counted over
+    all rows.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     # more than are wanted, as the number drawn is an estimate; the rest leave by rank
@@ -69,14 +69,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs_pe
     prior = np.log(np.array([sizes[k] for k in langs], dtype=float) / sum(sizes.values()))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h1", "h2"))
     sample = few.withColumn("rank", rank).where(F.col("rank") <= max_docs_per_lang)
+    # ranked in a task a language, counted in more
+    sample = sample.repartition(max(1, sum(min(n, max_docs_per_lang) for n in sizes.values()) // TEXTS), "h1")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words: Counter[tuple[str, str]] = Counter()
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        seen: Counter[tuple[str, str]] = Counter()
         for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             for piece in _cuts(x):
-                words.update((k, w) for w in _WORD.findall(piece.lower()))
+                seen.update((k, w) for w in _WORD.findall(piece.lower()))
+        k, w = zip(*seen) if seen else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(w, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "w", "n"])
+
+    def backed(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter[tuple[int, str, str]] = Counter()
-        for (k, w), n in words.items():
+        for k, w, n in zip(*(c.to_pylist() for c in batch.columns)):
             seen[0, w, k] += n
             for order in ORDERS:
                 for g in grams(w, order):
@@ -86,7 +92,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs_pe
         return pa.RecordBatch.from_arrays(columns, names=["order", "g", "lang", "n"])
 
     by_lang = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{i}") for i, k in enumerate(langs)]
-    counted = map_batches(sample.select("lang", "text"), run, "order int, g string, lang string, n long")
+    # words meet first, so that each is taken apart once
+    words = map_batches(sample.select("lang", "text"), split, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n"))
+    counted = map_batches(words, backed, "order int, g string, lang string, n long")
     table = counted.groupBy("order", "g").agg(*by_lang).toArrow()
     order, units = table.column("order").to_numpy(), table.column("g").to_pylist()
     counts = np.stack([table.column(f"n{i}").to_numpy() for i in range(len(langs))], axis=1).astype(float) if len(order) else np.zeros((0, len(langs)))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import few_texts, map_batches
+from tidemark.llm.common import TEXTS, few_texts, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
@@ -243,7 +243,8 @@ def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000) -> Model:
     Counting runs on the executors.  That bound is the only one: all traits of the sample are learned.
     """
     rows = docs.select(F.col(text).alias("text"), F.lit(0).alias("all")).where(F.col("text").rlike("[0-9@]"))
-    rows = few_texts(rows, max_docs, "all")[0].select("text")
+    few, sizes = few_texts(rows, max_docs, "all")
+    rows = few.repartition(max(1, min(max_docs, sum(sizes.values())) // TEXTS), "h1").select("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seen: Counter[tuple[str, int]] = Counter()
