@@ -88,6 +88,21 @@ def test_languages_of_copies(spark):
     assert math.exp(model.prior[2]) == pytest.approx(500 / 531)
 
 
+def test_samples_hold_the_smallest_hashes(spark):
+    """Against sorting all hashes: the texts below a cutoff, each once, however often the hottest is repeated."""
+    rows = [("hot", "aa")] * 3000 + [(f"text {i}", "aa" if i % 4 else "bb") for i in range(4000)] + [("lone", "cc")]
+    few, sizes = common.few_texts(spark.createDataFrame(rows, "text string, lang string").repartition(5), 400, "lang")
+    assert sizes == {"aa": 6000, "bb": 1000, "cc": 1}
+    got: dict = {}
+    for r in few.collect():
+        got.setdefault(r["lang"], []).append((r["h1"], r["text"]))
+    every = spark.createDataFrame(sorted(set(rows)), "text string, lang string").selectExpr("lang", "xxhash64(text) AS h", "text").collect()
+    for k, found in got.items():
+        assert sorted(found) == sorted((r["h"], r["text"]) for r in every if r["lang"] == k)[: len(found)]
+    assert got["cc"][0][1] == "lone" and all(300 < len(got[k]) < 500 for k in ("aa", "bb"))
+    assert common.few_texts(spark.createDataFrame([], "text string, lang string"), 5, "lang")[0].count() == 0
+
+
 def test_shared_folder_of_a_cluster_must_be_named():
     class Session:
         class sparkContext:
