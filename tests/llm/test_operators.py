@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 
 from tidemark.llm import ann, bpe, bytebpe, common, graph, html, langid, linededup, media, minhash, packing, pii, tokencount
 
@@ -690,6 +691,30 @@ def test_large_buckets_of_several_classes_equal_brute_force(spark):
         assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs, block=block).collect()} == want
 
 
+def test_large_buckets_ship_each_text_a_few_times(spark, monkeypatch):
+    """A text that shares a large bucket a band with the same others isn't sent to tasks for each of them."""
+    draw = random.Random(22)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in draw.sample(range(150), draw.randint(2, 8)):
+            words[at] = f"x{draw.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    shipped = []
+    apply = GroupedData.applyInArrow
+
+    def counted(self, *args):
+        shipped.append(self._df.count())
+        return apply(self, *args)
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = partition(rows)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(docs, block=128).collect()} == want
+    assert shipped and sum(shipped) < 12 * len(rows)
+
+
 def test_neighbours_that_repeat_ids(spark):
     """Rows that repeat an id or a vector: each row has a rank, and a repeated id hides no other."""
     draw = np.random.default_rng(5)

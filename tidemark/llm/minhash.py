@@ -12,8 +12,9 @@ Candidates.  Each different text is signed once.  Components are banded.  Within
 leader, not with each other.  Linked texts form classes; only where a bucket still holds
 different classes are their members compared across classes: in small buckets by a join
 (weighted Jaccard distance is a metric, so pairs whose distances to the leader differ by
-more than the threshold allows are left out without loss), in large ones by cells of
-distance and size, inside tasks that return links alone.  Every link is verified on whole texts.
+more than the threshold allows are left out without loss), in large ones inside tasks that return
+links alone: first in parts, each text once, which leaves few classes, then texts outside of a
+bucket's largest class against all others of it.  Every link is verified on whole texts.
 
 Defined results: words are runs of letters and digits in lower case; a text of one to four
 words is one shingle; texts without words are only equal to texts that are the same string,
@@ -243,57 +244,79 @@ def block_links(bags: list[np.ndarray], may: np.ndarray, threshold: float) -> np
 _SHINGLES = 1_000_000
 
 
-def in_blocks(large: DataFrame, signed: DataFrame, packed: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(u, v) of links across classes within large buckets.
+def homes(large: DataFrame, signed: DataFrame, block: int) -> DataFrame:
+    """(node, size, home, part): each text of ``large`` once, in a part of about ``block`` texts and a bounded number of shingles.
 
-    Members of a bucket are dealt into cells by their distance to its leader and by their size:
-    texts whose cells don't touch can't reach the threshold (weighted Jaccard distance is a
-    metric, and a text with fewer than ``threshold`` times another's shingles is too far from
-    it).  Members of the bucket's largest class have cells of their own, which never meet each
-    other, as their texts are linked already.  Cells are cut into parts of about ``block`` texts
-    and a bounded number of shingles; a task compares two parts at once and returns links alone.
-    A pair counts in the first bucket that both are in.
+    A text may be in as many large buckets as there are bands, nearly all with the same others; here it
+    is in one place, with those that have the same smallest leader.
     """
-    reach = 1 - threshold + 1e-9
-    near = F.floor(F.col("far") / reach).cast("int")
-    size = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / -float(np.log(threshold - 1e-9))).cast("int")
-    sides = signed.select("node", "keys", "size").join(large.select("node").distinct(), "node", "left_semi")
-    labels = large.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("m"))
-    most = labels.groupBy("band", "h").agg(F.max_by("label", F.struct("m", "label")).alias("most"))
-    cells = large.select("band", "h", "node", "label", "far").join(sides.select("node", "size"), "node").join(most, ["band", "h"])
-    cells = materialize(cells.withColumns({"a": near, "b": size, "c": (F.col("label") != F.col("most")).cast("int")}).drop("most", "far"))
-    by = ["band", "h", "a", "b", "c"]
-    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / _SHINGLES)).cast("int")
-    counted = materialize(cells.groupBy(*by).agg(parts.alias("parts")))
-    steps = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    beside = counted.withColumn("to", F.explode(steps)).select(*by, "parts", (F.col("a") + F.col("to.x")).alias("a2"), (F.col("b") + F.col("to.y")).alias("b2"))
-    other = counted.select("band", "h", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("c").alias("c2"), F.col("parts").alias("parts2"))
-    touching = materialize(beside.join(other, ["band", "h", "a2", "b2"]).where("c + c2 > 0"))
-    met = cells.join(touching, by).withColumn("i", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts2") - 1)))
-    here, there = F.struct("a", "b", "c", "i"), F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"), F.col("c2").alias("c"), F.col("j").alias("i"))
-    dealt = met.select("band", "h", "node", "label", F.least(here, there).alias("one"), F.greatest(here, there).alias("two"), (here <= there).alias("left"))
-    # a part beside itself needs each of its texts once
-    dealt = dealt.join(sides.select("node", "keys"), "node").join(packed, "node")
-
-    def meet(_, t):
+    home = materialize(large.groupBy("node").agg(F.min("leader").alias("home")).join(signed.select("node", "size"), "node"))
+    count = home.groupBy("home").agg(_parts(block).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    return materialize(home.join(count, "home").select("node", "size", "home", part.alias("part")))
+
+
+def _parts(block: int):
+    """In how many parts a group of texts is compared."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / _SHINGLES), F.lit(1)).cast("int")
+
+
+def _links(t: pa.Table, threshold: float) -> pa.Table:
+    """(u, v) of the links among the texts of a task that differ in label, share a bucket and, if that is told, in ``here``."""
+    ids, label = t.column("node").to_numpy(), t.column("label").to_numpy()
+    names = np.array(t.column("keys").to_pylist(), dtype=np.int64)
+    may = np.zeros((len(ids), len(ids)), dtype=bool)
+    for k in range(names.shape[1]):
+        may |= names[:, k][:, None] == names[:, k][None, :]
+    may &= label[:, None] != label[None, :]
+    if "here" in t.column_names:
+        here = t.column("here").to_numpy()
+        may &= here[:, None] != here[None, :]
+    found = np.zeros((0, 2), dtype=int)
+    if may.any():
         plain = zstandard.ZstdDecompressor()
-        band = t.column("band")[0].as_py()
-        ids, label = t.column("node").to_numpy(), t.column("label").to_numpy()
-        left = t.column("left").to_numpy()
-        names = np.array(t.column("keys").to_pylist(), dtype=np.int64)
-        alone = t.column("one")[0].as_py() == t.column("two")[0].as_py()
-        may = label[:, None] != label[None, :]
-        if not alone:
-            may &= left[:, None] != left[None, :]
-        for k in range(band):  # pairs that an earlier bucket compares
-            may &= names[:, k][:, None] != names[:, k][None, :]
-        found = np.zeros((0, 2), dtype=int)
-        if may.any():
-            found = block_links([shingles(plain.decompress(z).decode("utf-8")) for z in t.column("z").to_pylist()], may, threshold)
-        return pa.table([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["u", "v"])
-
-    return dealt.groupBy("band", "h", "one", "two").applyInArrow(meet, "u long, v long")
+        found = block_links([shingles(plain.decompress(z).decode("utf-8")) for z in t.column("z").to_pylist()], may, threshold)
+    return pa.table([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["u", "v"])
+
+
+def within_parts(large: DataFrame, places: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(u, v) of links across classes within parts of :func:`homes`; a text is shipped once."""
+    rows = places.select("node", "home", "part").join(large.select("node", "label").distinct(), "node")
+    several = rows.groupBy("home", "part").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    dealt = rows.join(several.select("home", "part"), ["home", "part"], "left_semi").join(texts, "node")
+    return dealt.groupBy("home", "part").applyInArrow(lambda _, t: _links(t, threshold), "u long, v long")
+
+
+def in_blocks(large: DataFrame, places: DataFrame, texts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(u, v) of the links across classes within large buckets ``large`` (band, h, node, label).
+
+    Texts outside of a bucket's largest class visit the parts (:func:`homes`) in which other members
+    of the bucket are; of two texts in different classes at least one does.  A part takes its visitors
+    in groups of about ``block`` texts, and returns links alone.  Buckets that hold the same texts lead
+    to the same visits, which happen once.  Only texts that share a bucket count.
+    """
+    labels = large.groupBy("band", "h", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = materialize(labels.groupBy("band", "h").agg(F.max_by("label", F.struct("m", "label")).alias("most")))
+    calls = materialize(large.join(most, ["band", "h"]).where("label <> most").select("band", "h", "node", "label"))
+    lie = materialize(large.select("band", "h", "node").join(places.select("node", "home", "part"), "node").select("band", "h", "home", "part").distinct())
+    visits = calls.join(lie, ["band", "h"]).select("node", "label", "home", "part").distinct()
+    visits = materialize(visits.join(places.select("node", "size"), "node"))
+    groups = materialize(visits.groupBy("home", "part").agg(_parts(block).alias("groups")))
+    group = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("groups")).cast("int")
+    guests = visits.join(groups, ["home", "part"]).select("home", "part", group.alias("group"), "node", "label", F.lit(False).alias("here"))
+    there = large.select("node", "label").distinct().join(places.select("node", "home", "part"), "node").join(groups, ["home", "part"])
+    there = there.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    dealt = materialize(guests.unionByName(there.select("home", "part", "group", "node", "label", F.lit(True).alias("here"))))
+    return dealt.join(texts, "node").groupBy("home", "part", "group").applyInArrow(lambda _, t: _links(t, threshold), "u long, v long")
+
+
+def still_open(placed: DataFrame) -> DataFrame:
+    """The members of buckets that hold several classes, but for the leaders, with ``n``, their bucket's members."""
+    mixed = materialize(
+        placed.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
+        .where("a <> b").select("band", "h", "n")
+    )
+    return materialize(placed.join(mixed, ["band", "h"]).where("node <> leader"))
 
 
 def same_key(rows: DataFrame) -> DataFrame:
@@ -342,11 +365,20 @@ def classes(
         "band", "h", "node", "leader", F.coalesce("label", "node").alias("label"),
         F.coalesce(F.try_element_at("far", F.col("leader")), F.lit(0.0)).alias("far"),
     ))
-    mixed = materialize(
-        placed.groupBy("band", "h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n"))
-        .where("a <> b").select("band", "h", "n")
-    )
-    open_ = materialize(placed.join(mixed, ["band", "h"]).where("node <> leader"))
+    # in large buckets texts are compared within parts first: that ties most of what has several links, at a row a text
+    open_ = still_open(placed)
+    large = open_.where(F.col("n") > block // 8)
+    if not large.isEmpty():
+        places = homes(large, signed, block)
+        texts = signed.select("node", "keys").join(packed.join(places.select("node"), "node", "left_semi"), "node")
+        texts = materialize(texts)
+        tied = materialize(within_parts(large, places, texts, threshold))
+        if not tied.isEmpty():
+            linked = linked.unionByName(tied)
+            found = components(linked)
+            placed = materialize(placed.drop("label").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+            open_ = still_open(placed)
+            large = open_.where(F.col("n") > block // 8)
     small = open_.where(F.col("n") <= block // 8)
     x, y = small.alias("x"), small.alias("y")
     near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - threshold + 1e-9
@@ -358,9 +390,8 @@ def classes(
     # a leader is the smallest of its bucket, so tested pairs have the smaller text as v
     across = across.join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     more = verify(across, packed).where(F.col("similarity") >= threshold).select("u", "v")
-    large = open_.where(F.col("n") > block // 8)
     if not large.isEmpty():
-        more = more.unionByName(in_blocks(large, signed, packed, threshold, block))
+        more = more.unionByName(in_blocks(large, places, texts, threshold, block))
     more = materialize(more)
     if not more.isEmpty():
         found = components(linked.unionByName(more))
