@@ -42,11 +42,27 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = materialize(placed.groupBy("class_id").agg(F.min(F.struct("none", "id")).alias("least"), F.count(F.lit(1)).alias("n")))
     first = placed.join(least, "class_id").where((F.col("none") == F.col("least.none")) & F.col("id").eqNullSafe(F.col("least.id")))
     # rows of a class that repeat its smallest id: the smallest row stays
+    first = materialize(first.select("__row", "class_id", "n"))
+    repeated = materialize(first.where("n > 1").groupBy("class_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     order = F.struct(*[c for c in docs.columns if c != "doc_id"], "__row")
-    several = materialize(rows.join(first.where("n > 1").select("__row", "class_id"), "__row"))
+    among = materialize(first.join(repeated, "class_id").select("__row", "class_id"))
+    several = materialize(marked(rows, among).join(among, "__row"))
     chosen = several.groupBy("class_id").agg(F.min(order).alias("row")).select(F.col("row.__row").alias("__row"))
-    kept = first.where("n = 1").select("__row").unionByName(chosen)
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = materialize(first.join(repeated, "class_id", "left_anti").select("__row").unionByName(chosen))
+    return marked(rows, kept).select(*docs.columns)
+
+
+def marked(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose number ``__row`` is in ``kept``; texts stay where they are.
+
+    Numbers count up within each partition that wrote them, so a bit a row tells which stay: a
+    broadcast of 4 KB for each 32,768 rows, where a join would move every text.
+    """
+    bits = kept.groupBy(F.bitmap_bucket_number("__row").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__row")).alias("__bits"))
+    place = F.bitmap_bit_position("__row")
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("__bucket", F.bitmap_bucket_number("__row")).join(F.broadcast(materialize(bits)), "__bucket")
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
 
 
 def privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,23 @@ def test_copies_keep_different_texts_of_null_and_repeated_ids(spark):
     want = [rows[1], rows[2], rows[4], rows[6], rows[8], rows[10]]
     got = dict(corpus_pipeline.STAGES)["MinHash near-dedup"](spark, spark.createDataFrame(rows, docs.schema), SF)
     assert Counter(map(tuple, got.collect())) == Counter(want)
+
+
+def test_marked_rows_equal_a_semi_join(spark):
+    rows = spark.range(100_000).repartition(3).withColumn("__row", F.monotonically_increasing_id()).localCheckpoint()
+    for kept in (rows.where("id % 7 IN (0, 3) OR id < 50"), rows.where("false"), rows):
+        want = rows.join(kept.select("__row"), "__row", "left_semi").select(*rows.columns)
+        got = corpus_pipeline.marked(rows, kept.select("__row"))
+        assert got.columns == rows.columns and got.count() == kept.count() and not got.exceptAll(want).count()
+
+
+def test_copies_choose_rows_without_moving_texts(spark):
+    """Whatever the size: no plan may hope that the chosen rows are few enough to be broadcast."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = corpus_pipeline.copies(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
