@@ -36,3 +36,9 @@ def test_query(spark, sql, name):
 
 def test_sql_covers_queries():
     assert set(catalogue.SQL) <= set(catalogue.QUERIES)
+
+
+def test_sketch_is_kept_once_and_not_for_every_key(spark):
+    plan = stored.unique_keys_estimate_bound(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    sketches = [line for line in plan.split("\n") if "approx_count_distinct" in line and "Aggregate" in line]
+    assert sketches and all("keys=[]" in line for line in sketches)
