@@ -1,6 +1,8 @@
+import bisect
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import scan as reads
 from tidemark.operators.cursor import Cursor
@@ -149,3 +151,16 @@ def test_ranges_hold_their_share(spark):
     dealt = reads.Ranges(rows, "sort_key", 16)
     sizes = [r["count"] for r in rows.groupBy(dealt.of(F.col("sort_key"), F.xxhash64("sort_key", "id")).alias("r")).count().collect()]
     assert len(sizes) == 16 and max(sizes) < 2 * 30_000 / 16
+
+
+def test_ranges_look_at_few_cuts(spark):
+    """A key is dealt by halving, once a row: not compared with a stretch of cuts, nor dealt again by a filter."""
+    rows = spark.range(4000).select(F.struct((F.col("id") % 50).alias("_0"), F.col("id").alias("_1")).alias("sort_key"))
+    dealt = reads.Ranges(rows, "sort_key", 200)
+    cuts = dealt.cuts
+    got = rows.select("sort_key", dealt.of(F.col("sort_key")).alias("r")).collect()
+    assert len(cuts) > 100 and all(r["r"] == bisect.bisect_left(cuts, r["sort_key"]) for r in got)
+    plan = reads.neighbours(rows, ranges=200)._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    assert "filter(" not in text
+    assert not [line for line in text.split("\n") if "Filter" in line and "aggregate(" in line]

@@ -130,12 +130,11 @@ class Ranges:
         else it is the first of them, or the last with ``top``."""
         if not self.cuts:
             return F.when(key.isNull(), -1).otherwise(0)
-        width = 32
         cuts = F.array(*[typed(c, self.kind) for c in self.cuts])
-        coarse = [typed(c, self.kind) for c in self.cuts[width - 1 :: width]]
-        # how many cuts lie below the key: first among every 32nd, then among those between
-        block = F.size(F.filter(F.array(*coarse), lambda c: c < key)) if coarse else F.lit(0)
-        below = block * width + F.size(F.filter(F.slice(cuts, block * width + 1, width), lambda c: c < key))
+        # how many cuts lie below the key, by halving: each step looks at one cut
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(self.cuts).bit_length()))])
+        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < key, at + step).otherwise(at))
+        below = F.coalesce(below, F.lit(0))  # never null, which a join's filter needn't find out by searching again
         if max(self.times) == 1:
             return F.when(key.isNull(), -1).otherwise(below)
         starts = [sum(self.times[:i]) for i in range(len(self.times) + 1)]
@@ -177,7 +176,8 @@ def neighbours(rows: DataFrame, key: str = "sort_key", ranges: int | None = None
     """
     dealt = Ranges(rows, key, ranges)
     rows = rows.withColumn("__range", dealt.of(F.col(key), _row_hash(rows)))
-    there = rows.where(F.col("__range") >= 0)
+    # by the key itself: asked for their range, rows would be dealt again by each filter
+    there = rows.where(F.col(key).isNotNull())
     ends = there.groupBy("__range").agg(F.min(key).alias("__min"), F.max(key).alias("__max"))
     beside = Window.orderBy("__range")
     ends = ends.select("__range", F.lag("__max").over(beside).alias("__below"), F.lead("__min").over(beside).alias("__above"))
@@ -186,7 +186,7 @@ def neighbours(rows: DataFrame, key: str = "sort_key", ranges: int | None = None
     found = there.withColumns({"__p": F.lag(key).over(order), "__n": F.lead(key).over(order)}).join(F.broadcast(ends), "__range")
     found = found.withColumns({"prev_key": F.coalesce("__p", "__below"), "next_key": F.coalesce("__n", "__above")})
     none = F.lit(None).cast(dealt.kind)
-    absent = rows.where(F.col("__range") < 0).withColumns({"prev_key": none, "next_key": none})
+    absent = rows.where(F.col(key).isNull()).withColumns({"prev_key": none, "next_key": none})
     return found.drop("__p", "__n", "__below", "__above").unionByName(absent).drop("__range")
 
 

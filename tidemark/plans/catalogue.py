@@ -6,6 +6,7 @@ and probes are derived from the data, so that every query is meaningful at every
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,7 @@ from tidemark.operators import scan as reads
 from tidemark.operators.resolve import FULL, INTERMEDIATE, RAW, old_values, resolve
 from tidemark.operators.scan import GE, GT, LE, LT, Bounds
 from tidemark.sources.inputs import driver_table, event_messages, puts
+from tidemark.sources.place import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -336,9 +338,11 @@ PAIRS = "SELECT l_orderkey AS a, l_linenumber AS b, count(*) AS n FROM lineitem
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines under a composite key, one row each."""
+    """Order lines under a composite key, one row each; written once, as ordered reads pass over them several times."""
     rows = driver_table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    return KeySpec.composite("a", "b").with_sort_key(rows)
+    path = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return KeySpec.composite("a", "b").with_sort_key(spark.read.schema(rows.schema).parquet(path))
 
 
 @query(f"WITH p AS ({PAIRS}) SELECT a, b, row_number() OVER (ORDER BY a, b) AS pos FROM p")
